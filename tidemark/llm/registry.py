@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .katz import op1_katz
 from .kdshards import op9_kdshards
 from .mixing import OP8_SQL, op8_mix
 from .neighbours import op6_nearest
@@ -18,6 +19,7 @@ from .urlfilter import op5_urlfilter
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_katz": op1_katz,
         "op2_simhash": op2_simhash,
         "op4_tokenfiles": op4_tokenfiles,
         "op5_urlfilter": op5_urlfilter,
