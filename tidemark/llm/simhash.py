@@ -5,10 +5,10 @@ differs in at most ``blocks - choose`` bits agrees on all blocks of at least one
 then verifying the Hamming distance finds every such pair; a larger distance is allowed, and then pairs are
 found with the probability that one key agrees. Components of the links are the groups of near duplicates.
 
-Equal fingerprints are one node throughout, so copies never meet as pairs. A key that few fingerprints share
-is joined in SQL. A key that more than ``LIGHT`` share is cut into tiles of bounded size, each pair of chunks
-being compared once in one task, and a tile returns the edges of a spanning forest and not all its links: no
-link that connects different groups is lost, and no group emits all its pairs.
+Equal fingerprints are one node throughout, so copies never meet as pairs. The fingerprints that share a key
+are compared in numpy, and a key gives the edges of a spanning forest and not all its links: no link that
+connects different groups is lost, and no group emits all its pairs. A key that more than ``CHUNK`` share is cut
+into tiles of bounded size, each pair of chunks being compared once in one task.
 
 Defined results: a null text counts as empty; texts without words have the fingerprint zero and link like any
 other; repeated rows give repeated result rows; a null id takes part and gets the smallest id reachable, null
@@ -30,7 +30,8 @@ from .common import Scratch, table
 from .components import connected_components
 from .textops import mix, slices, word_hashes
 
-LIGHT, CHUNK = 32, 1024
+#: Keys that more fingerprints share are compared in tiles of pairs of such chunks.
+CHUNK = 1024
 
 
 def _majority(h: np.ndarray) -> np.uint64:
@@ -129,34 +130,73 @@ def _forest(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, int), np.zeros(0, int))
 
 
+def _close(f: np.ndarray, distance: int) -> np.ndarray:
+    close = np.zeros((len(f), len(f)), bool)
+    for s in range(0, len(f), 256):
+        close[s : s + 256] = sum(np.bitwise_count(f[s : s + 256, k, None] ^ f[None, :, k]).astype(np.int32) for k in range(f.shape[1])) <= distance
+    return close
+
+
+def _run_links(key: np.ndarray, f: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of spanning forests within runs of equal keys."""
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(start, len(key)))
+    run = np.repeat(np.arange(len(start)), size)
+    nth, of = np.arange(len(key)) - start[run], size[run]
+    us, vs = [], []
+    for d in range(1, min(int(size.max()), 64) if len(size) else 0):  # pairs of runs of up to 64, all runs at once
+        i = np.flatnonzero((nth + d < of) & (of <= 64))
+        apart = sum(np.bitwise_count(f[i, k] ^ f[i + d, k]).astype(np.int32) for k in range(f.shape[1]))
+        us.append(i[apart <= distance])
+        vs.append(us[-1] + d)
+    u, v = (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    found = np.bincount(run[u], minlength=len(start))
+    thin = found[run[u]] < size[run[u]]
+    out_u, out_v = [u[thin]], [v[thin]]
+    for r in np.flatnonzero((found >= size) | (size > 64)):
+        a = start[r]
+        i, j = _forest(_close(f[a : a + size[r]], distance))
+        out_u.append(a + i)
+        out_v.append(a + j)
+    return np.concatenate(out_u), np.concatenate(out_v)
+
+
 def links(nodes: DataFrame, width: int, blocks: int, choose: int, distance: int, scratch: Scratch) -> DataFrame:
     """(u, v): links between rows of ``nodes`` (node, f0, ...), which hold different fingerprints."""
     cols = [f"f{k}" for k in range(width)]
     keyed = nodes.withColumn("key", F.explode(_keys(width, blocks, choose)))
     sizes = scratch.put(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     sized = keyed.join(sizes, "key")
-    light = sized.where(F.col("n") <= LIGHT).select("key", "node", *cols)
-    a, b = light.alias("a"), light.alias("b")
-    apart = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in cols[1:]), F.bit_count(F.col("a.f0").bitwiseXOR(F.col("b.f0"))))
-    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (apart <= distance)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by key; the last run waits for the next batch."""
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch])
+            key = rest["key"].to_numpy()
+            whole = np.searchsorted(key, key[-1]) if len(key) else 0
+            yield of(rest.iloc[:whole])
+            rest = rest.iloc[whole:]
+        if rest is not None:
+            yield of(rest)
+
+    def of(part: pd.DataFrame) -> pd.DataFrame:
+        u, v = _run_links(part["key"].to_numpy(), part[cols].to_numpy(np.int64).view(np.uint64), distance)
+        node = part["node"].to_numpy()
+        return pd.DataFrame({"u": node[u], "v": node[v]})
+
+    near = sized.where(F.col("n") <= CHUNK).select("key", "node", *cols).repartition("key").sortWithinPartitions("key").mapInPandas(runs, "u long, v long")
 
     chunks = F.ceil(F.col("n") / CHUNK)
     heavy = (
-        sized.where(F.col("n") > LIGHT)
+        sized.where(F.col("n") > CHUNK)
         .withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), chunks))
         .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
         .select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "node", *cols)
     )
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = pdf[cols].to_numpy(np.int64).view(np.uint64)
-        close = np.zeros((len(f), len(f)), bool)
-        for s in range(0, len(f), 256):
-            d = np.zeros((min(256, len(f) - s), len(f)), np.int32)
-            for k in range(width):
-                d += np.bitwise_count(f[s : s + 256, k, None] ^ f[None, :, k])
-            close[s : s + 256] = d <= distance
-        u, v = _forest(close)
+        u, v = _forest(_close(pdf[cols].to_numpy(np.int64).view(np.uint64), distance))
         node = pdf["node"].to_numpy()
         return pd.DataFrame({"u": node[u], "v": node[v]})
 
