@@ -18,9 +18,11 @@ order is that of a hash of the text; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -100,53 +102,97 @@ def decode_blocks(payload: bytes, block_starts: np.ndarray, n_tokens: int, first
     return (diff + low[:, None]).ravel()[:n_tokens]
 
 
+class _Numbers(dict):
+    """Numbers pieces as they are asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 class Encoder:
-    """The tokenizers library with a memory of words it has encoded.
+    """The tokenizers library with a memory of pieces it has encoded.
 
-    The pre-tokeniser of this vocabulary never joins what a white space run parts, so a text's ids are those of
-    its pieces `` ?\\S+|\\s+``. Texts with characters on whose class Unicode versions or libraries might differ
-    are encoded as a whole.
+    In texts of ASCII and Latin characters, whose classes no Unicode version or library disputes, pieces are cut
+    where the vocabulary's pre-tokeniser cuts, and a piece's ids do not depend on its neighbours. New pieces are
+    encoded together, a line feed between them. Other texts are encoded as a whole.
     """
 
-    MOST_WORDS = 300_000
-    _PIECE = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+", re.ASCII)
-    _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ſ]*")
+    MOST_PIECES = 400_000
+    _LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+    _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-\u017f]*")
+    _PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[^ \t\n\r{_LETTER}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+    _FEED = "\n"
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
-        self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        (self.feed,) = self._all([self._FEED])[0]
+        self._forget()
+
+    def _all(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _forget(self) -> None:
+        self.known, self.ids, self.start = _Numbers(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        got = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        ends = self.start[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in got for i in ids), np.uint32)])
-        self.start = np.concatenate([self.start, ends])
+        blank = [i for i, x in enumerate(new) if x.isspace()]
+        lines = [x for x in new if not x.isspace()]
+        flat = [np.zeros(0, np.uint32)]
+        n = np.zeros(len(new), np.int64)
+        inner = np.ones(len(new), bool)
+        inner[blank] = False
+        if lines:
+            got = np.array([i for ids in self._all([self._FEED.join(lines[k : k + 2000]) + self._FEED for k in range(0, len(lines), 2000)]) for i in ids], np.uint32)
+            ends = np.flatnonzero(got == self.feed)
+            n[inner] = np.diff(np.concatenate(([-1], ends))) - 1
+            words = got[got != self.feed]
+        else:
+            words = flat[0]
+        some = self._all([new[i] for i in blank])
+        n[blank] = [len(x) for x in some]
+        ids = np.empty(n.sum(), np.uint32)
+        of_word = np.repeat(inner, n)
+        ids[of_word] = words
+        ids[~of_word] = [i for x in some for i in x]
+        self.ids = np.concatenate([self.ids, ids])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [bool(self._PLAIN.fullmatch(t)) and "<|endoftext|>" not in t for t in texts]
-        pieces = [self._PIECE.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        used = dict.fromkeys(x for some in pieces for x in some)
-        new = [x for x in used if x not in self.known]
-        if len(self.known) + len(new) > self.MOST_WORDS and self.known:
-            self.known, self.ids, self.start = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-            new = list(used)
-        if new:
-            self._learn(new)
-        out = []
-        for text, p, some in zip(texts, plain, pieces, strict=True):
-            if not p:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            at = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
-            first, n = self.start[at], self.start[at + 1] - self.start[at]
-            out.append(self.ids[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        plain = [t != "" and "<|endoftext|>" not in t and bool(self._PLAIN.fullmatch(t)) for t in texts]
+        if len(self.known) > self.MOST_PIECES:
+            self._forget()
+        before, number, places = len(self.known), self.known.__getitem__, []
+        for t, p in zip(texts, plain, strict=True):
+            if p:
+                places.append(np.fromiter(map(number, self._PIECE.findall(t)), np.int64))
+        if len(self.known) > before:
+            self._learn(list(islice(self.known, before, None)))
+        of, out = iter(places), []
+        for text, p in zip(texts, plain, strict=True):
+            if p:
+                at = next(of)
+                first = self.start[at]
+                n = self.start[at + 1] - first
+                out.append(self.ids[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            else:
+                out.append(np.array(self._all([text])[0] if text else [], np.uint32))
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One for each Python worker, which outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def write_segments(docs: DataFrame, spark: SparkSession, tokenizer: str, scratch: Scratch, name: str = "segments", segment_tokens: int = 1_000_000) -> DataFrame:
     """Encodes (doc_id, text) and writes the table of segments; returns it as read again."""
     order = F.xxhash64(text_or_empty())
@@ -154,7 +200,7 @@ def write_segments(docs: DataFrame, spark: SparkSession, tokenizer: str, scratch
     dealt = dealt.repartitionByRange(shuffle_width(spark), F.col("doc_id").asc_nulls_first(), "o").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "o")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, range_ = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, range_ = encoder_of(tokenizer), TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         keys: list[int | None] = []
         lengths: list[int] = []
@@ -172,7 +218,7 @@ def write_segments(docs: DataFrame, spark: SparkSession, tokenizer: str, scratch
             return pd.DataFrame([row])
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=2_000_000):
                 for key, got in zip(part["doc_id"].astype("Int64").array, encoder.encode([t or "" for t in part["text"]]), strict=True):
                     got = np.append(got, np.uint32(END))
                     ids.append(got)
