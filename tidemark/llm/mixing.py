@@ -50,12 +50,13 @@ def water_fill(sources: DataFrame, max_epochs: float, scratch: Scratch) -> DataF
     return sources.withColumn("target", F.least(capacity, F.col("weight") * F.lit(level)))
 
 
-def mix(docs: DataFrame, spark: SparkSession, cycle: tuple[int, ...] = (1, 2, 3), max_epochs: float = 3, seed: str = "mix-1") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for each row of ``docs``."""
+def mix(docs: DataFrame, spark: SparkSession, cycle: tuple[int, ...] = (1, 2, 3), max_epochs: float = 3, seed: str = "mix-1", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) and the columns of ``keep`` for each row of ``docs``."""
     scratch = Scratch(spark)
     sized = scratch.put(
         docs.select(
             F.col("doc_id"),
+            *keep,
             F.col("source").cast("string").alias("source"),
             word_count().alias("size"),
             F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("doc_id").isNull(), F.md5(text_or_empty().cast("binary"))))).alias("o"),
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, spark: SparkSession, cycle: tuple[int, ...] = (1, 2, 3)
     away = placed.where("cut_b is null or b <> cut_b").withColumn("taken", whole + F.when(F.col("cut_b").isNull() | (F.col("b") < F.col("cut_b")), F.when(F.col("rest") > 0, F.col("size")).otherwise(0)).otherwise(0))
     run = F.coalesce(F.sum("size").over(Window.partitionBy("s").orderBy("o", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = placed.where("b = cut_b").withColumn("taken", whole + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("cut_before") - run)))
-    cols = ["doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
+    cols = [*keep, "doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
     return away.select(*cols).unionByName(within.select(*cols))
 
 
@@ -118,3 +119,23 @@ SELECT r.doc_id, r.size, p.source_size, p.target,
        CAST(p.whole * r.size + greatest(0, least(r.size, p.rest - r.run)) AS BIGINT) AS taken
 FROM runs r JOIN parts p ON r.source IS NOT DISTINCT FROM p.source
 """
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: each document as often as the mix takes it.
+
+    A repetition in part holds the first words of the text, joined by spaces, and its own number of characters.
+    """
+    text_hash = F.xxhash64(text_or_empty())
+    key = lambda: (F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_hash)
+    plan = mix(docs.withColumn("k_", F.struct(*key()).cast("struct<a:string,b:long>")), spark, keep=("k_",))
+    taken = plan.groupBy(F.col("k_.a").alias("ka_"), F.col("k_.b").alias("kb_")).agg(F.max("size").alias("size_"), F.max("taken").alias("taken_")).where("taken_ > 0")
+    marked = docs.withColumn("ka__", key()[0]).withColumn("kb__", key()[1]).join(taken, (F.col("ka__") == F.col("ka_")) & (F.col("kb__") == F.col("kb_")))
+    again = marked.withColumn("nth_", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken_") / F.col("size_")))))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    part = F.array_join(F.slice(words, 1, (F.col("taken_") - F.col("size_") * (F.col("nth_") - 1)).cast("int")), " ")
+    cut = F.col("nth_") * F.col("size_") > F.col("taken_")
+    out = again.withColumn("text", F.when(cut, part).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

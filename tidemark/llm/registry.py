@@ -11,6 +11,7 @@ from .kdshards import op9_kdshards
 from .mixing import OP8_SQL, op8_mix
 from .neighbours import op6_nearest
 from .simhash import op2_simhash
+from .suffixes import op3_suffixes
 from .templates import op7_templates
 from .tokenfiles import op4_tokenfiles
 from .toxicity import op10_toxicity
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_katz": op1_katz,
         "op2_simhash": op2_simhash,
+        "op3_suffixes": op3_suffixes,
         "op4_tokenfiles": op4_tokenfiles,
         "op5_urlfilter": op5_urlfilter,
         "op6_nearest": op6_nearest,

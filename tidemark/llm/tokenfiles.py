@@ -67,7 +67,8 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
             rows = np.flatnonzero(width == w)
             for k in range(0, len(rows), 4096):
                 some = rows[k : k + 4096]
-                bits = np.unpackbits(packed[some].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :w]
+                cell = 2 if w <= 16 else 4
+                bits = np.unpackbits(packed[some].astype(f"<u{cell}").view(np.uint8).reshape(-1, cell), axis=1, bitorder="little")[:, :w]
                 out[at[some, None] + _HEADER + np.arange(BLOCK // 8 * w)] = np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little")
     b, place = np.nonzero(over)
     nth = np.arange(len(b)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
@@ -92,9 +93,10 @@ def decode_blocks(payload: bytes, block_starts: np.ndarray, n_tokens: int, first
             for k in range(0, len(rows), 4096):
                 some = rows[k : k + 4096]
                 bits = np.unpackbits(data[at[some, None] + _HEADER + np.arange(BLOCK // 8 * w)], axis=1, bitorder="little").reshape(-1, w)
-                full = np.zeros((len(bits), 32), np.uint8)
+                cell = 2 if w <= 16 else 4
+                full = np.zeros((len(bits), 8 * cell), np.uint8)
                 full[:, :w] = bits
-                diff[some] = np.packbits(full, axis=1, bitorder="little").view("<u4").reshape(len(some), BLOCK)
+                diff[some] = np.packbits(full, axis=1, bitorder="little").view(f"<u{cell}").reshape(len(some), BLOCK)
     b = np.repeat(np.arange(n), exceptions)
     nth = np.arange(len(b)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
     of = at[b] + _HEADER + BLOCK // 8 * width[b] + 5 * nth
@@ -118,10 +120,11 @@ class Encoder:
     encoded together, a line feed between them. Other texts are encoded as a whole.
     """
 
-    MOST_PIECES = 400_000
+    #: About 200 MB.
+    MOST_PIECES = 1_200_000
     _LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
     _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-\u017f]*")
-    _PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[^ \t\n\r{_LETTER}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+    _PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[0-9]+| ?[^ \t\n\r0-9{_LETTER}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
     _FEED = "\n"
 
     def __init__(self, path: str):
