@@ -106,7 +106,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             row = {
                 "chunk": (task << 32) + number, "n_train": int(in_train.sum()),
                 "words": _dump(vocabulary=vocabulary, counts=_small(counts)),
-                "tokens": _dump(keys=np.array([NULL if k is None else k for k in keys], np.int64), train=train, n=_small(n_words + 1), low=(token & 255).astype(np.uint8), mid=(token >> 8 & 255).astype(np.uint8), high=_small(token >> 16), start=np.array(s)),
+                "tokens": _dump(start=np.array(s), keys=np.array([NULL if k is None else k for k in keys], np.int64), train=train, n=_small(n_words + 1), low=(token & 255).astype(np.uint8), mid=(token >> 8 & 255).astype(np.uint8), high=_small(token >> 16)),
             }
             number += 1
             held.clear()
@@ -146,13 +146,13 @@ def _count_words(chunks: DataFrame, buckets: int, hot_from: float) -> DataFrame:
         bucket, rows, at = int(pdf["bucket"].iloc[0]), [], 0
         for chunk, p in zip(pdf["chunk"], parts, strict=True):
             n = len(p["v"])
-            rows.append({"kind": 0, "bucket": bucket, "chunk": chunk, "data": _dump(c=_small(total[of[at : at + n]])), "n_r": None, "v": 0, "hot": None})
+            rows.append({"kind": 0, "bucket": bucket, "chunk": chunk, "data": _dump(c=_small(total[of[at : at + n]]), step=_small(np.diff(of[at : at + n], prepend=0))), "n_r": None, "v": 0, "words": 0, "hot": None})
             at += n
         seen = total > 0
-        rows.append({"kind": 1, "bucket": bucket, "chunk": -1, "data": _dump(word=words[seen], count=_small(total[seen])), "n_r": [int((total == r).sum()) for r in range(1, CUT + 2)], "v": int(seen.sum()), "hot": words[total > hot_from].view(np.int64).tolist()})
+        rows.append({"kind": 1, "bucket": bucket, "chunk": -1, "data": _dump(word=words[seen], count=_small(total[seen])), "n_r": [int((total == r).sum()) for r in range(1, CUT + 2)], "v": int(seen.sum()), "words": len(words), "hot": np.flatnonzero((total > hot_from) | (words == START)).tolist()})
         return pd.DataFrame(rows)
 
-    return chunks.select("chunk", "words").mapInPandas(send, "bucket int, chunk long, data binary").groupBy("bucket").applyInPandas(add, "kind int, bucket int, chunk long, data binary, n_r array<long>, v long, hot array<long>")
+    return chunks.select("chunk", "words").mapInPandas(send, "bucket int, chunk long, data binary").groupBy("bucket").applyInPandas(add, "kind int, bucket int, chunk long, data binary, n_r array<long>, v long, words long, hot array<long>")
 
 
 class _Unigrams:
@@ -168,16 +168,18 @@ class _Unigrams:
         return np.where(c > 0, self.scale * _factor(self.d, c) * c / max(self.n, 1), self.unknown)
 
 
-def _merge_bigrams(chunks: DataFrame, word_counts: DataFrame, buckets: int, uni: _Unigrams, hot: np.ndarray) -> DataFrame:
+def _merge_bigrams(chunks: DataFrame, word_counts: DataFrame, buckets: int, uni: _Unigrams, base_id: dict[int, int], hot: np.ndarray) -> DataFrame:
     """bucket < 0: a chunk's documents with base scores; else a bucket of the bigram table with its occurrences."""
 
     def send(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({"bucket": [], "chunk": [], "data": []})
         chunk = int(left["chunk"].iloc[0])
-        x = _load(left["words"].iloc[0])
-        vocabulary = x["vocabulary"]
-        total = np.concatenate([_load(d)["c"].astype(np.int64) for d in right.sort_values("bucket")["data"]])
+        right = right.sort_values("bucket")
+        told = [_load(d) for d in right["data"]]
+        total = np.concatenate([x["c"].astype(np.int64) for x in told])
+        # words in numbers, ascending, as they are sorted by hash and so by bucket
+        vocabulary = np.concatenate([base_id[int(b)] + np.cumsum(x["step"], dtype=np.int64) for b, x in zip(right["bucket"], told, strict=True)])
         t = _load(left["tokens"].iloc[0])
         token = t["low"].astype(np.int64) | t["mid"].astype(np.int64) << 8 | t["high"].astype(np.int64) << 16
         n, train, start = t["n"].astype(np.int64), t["train"], int(t["start"])
@@ -191,8 +193,8 @@ def _merge_bigrams(chunks: DataFrame, word_counts: DataFrame, buckets: int, uni:
         history[1:] = token[:-1]
         history[first] = start
         is_hot = np.isin(vocabulary, hot)
-        spread = mix(vocabulary)
-        at = _bucket(np.where(is_hot[history], mix(spread[history] ^ vocabulary[token]), spread[history]), buckets)
+        spread = mix(vocabulary.astype(np.uint64))
+        at = _bucket(np.where(is_hot[history], mix(spread[history] ^ vocabulary[token].astype(np.uint64)), spread[history]), buckets)
         size = len(vocabulary)
         key = (at * size + history) * size + token
         order = np.argsort(key, kind="stable")
@@ -208,7 +210,7 @@ def _merge_bigrams(chunks: DataFrame, word_counts: DataFrame, buckets: int, uni:
             if z > a:
                 hs, runs = np.unique(h[a:z], return_counts=True)
                 ws, place = np.unique(w[a:z], return_inverse=True)
-                rows.append({"bucket": k, "chunk": chunk, "data": _dump(h=vocabulary[hs], runs=_small(runs), w=vocabulary[ws], wc=_small(total[ws]), at=_small(place), many=_small(many[a:z]), taught=_small(taught[a:z]), doc=_small(doc[occ[a] : occ[z]]))})
+                rows.append({"bucket": k, "chunk": chunk, "data": _dump(h=_small(np.diff(vocabulary[hs], prepend=0)), runs=_small(runs), w=_small(np.diff(vocabulary[ws], prepend=0)), wc=_small(total[ws]), at=_small(place), many=_small(many[a:z]), taught=_small(taught[a:z]), doc=_small(doc[occ[a] : occ[z]]))})
         return pd.DataFrame(rows)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -217,8 +219,8 @@ def _merge_bigrams(chunks: DataFrame, word_counts: DataFrame, buckets: int, uni:
             return pd.DataFrame([{"bucket": -1, "chunk": c, "grams": None, "occurrences": d, "n_r": None, "hot_h": None, "hot_sums": None} for c, d in zip(pdf["chunk"], pdf["data"], strict=True)])
         parts = [_load(d) for d in pdf["data"]]
         parts = [{k: p[k] for k in p.files} for p in parts]
-        h = np.concatenate([np.repeat(p["h"], p["runs"].astype(np.int64)) for p in parts])
-        w = np.concatenate([p["w"][p["at"]] for p in parts])
+        h = np.concatenate([np.repeat(np.cumsum(p["h"], dtype=np.int64), p["runs"].astype(np.int64)) for p in parts])
+        w = np.concatenate([np.cumsum(p["w"], dtype=np.int64)[p["at"]] for p in parts])
         wc = np.concatenate([p["wc"].astype(np.int64)[p["at"]] for p in parts])
         c = np.concatenate([p["taught"].astype(np.int64) for p in parts])
         order = np.lexsort((w, h))
@@ -230,15 +232,15 @@ def _merge_bigrams(chunks: DataFrame, word_counts: DataFrame, buckets: int, uni:
         ends = np.cumsum([len(p["many"]) for p in parts])
         occ = {}
         for i, (chunk, p, e) in enumerate(zip(pdf["chunk"], parts, ends, strict=True)):
-            occ |= {f"c{i}": np.array(chunk), f"g{i}": _small(gram[e - len(p["many"]) : e]), f"m{i}": p["many"], f"d{i}": p["doc"]}
+            occ |= {f"c{i}": np.array(chunk), f"g{i}": _small(np.diff(gram[e - len(p["many"]) : e], prepend=0)), f"m{i}": p["many"], f"d{i}": p["doc"]}
         hs, runs = np.unique(h, return_counts=True)
         is_hot = np.flatnonzero(np.isin(hs, hot))
         of = np.repeat(np.arange(len(hs)), runs)
         sums = np.column_stack([np.bincount(of, c, len(hs)), np.bincount(of, np.where(c > 0, uni.p(wc), 0.0), len(hs)), *(np.bincount(of[c == r], minlength=len(hs)) for r in range(1, CUT + 1))])
-        return pd.DataFrame([{"bucket": bucket, "chunk": -1, "grams": _dump(h=hs, runs=_small(runs), w=w, wc=_small(wc), c=_small(c)), "occurrences": _dump(**occ), "n_r": [int((c == r).sum()) for r in range(1, CUT + 2)], "hot_h": hs[is_hot].view(np.int64).tolist(), "hot_sums": sums[is_hot].ravel().tolist()}])
+        return pd.DataFrame([{"bucket": bucket, "chunk": -1, "grams": _dump(h=hs, runs=_small(runs), w=_small(w), wc=_small(wc), c=_small(c)), "occurrences": _dump(**occ), "n_r": [int((c == r).sum()) for r in range(1, CUT + 2)], "hot_h": hs[is_hot].tolist(), "hot_sums": sums[is_hot].ravel().tolist()}])
 
     told = word_counts.where("kind = 0").select("chunk", "bucket", "data")
-    sent = chunks.select("chunk", "words", "tokens").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(send, "bucket int, chunk long, data binary")
+    sent = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(send, "bucket int, chunk long, data binary")
     return sent.groupBy("bucket").applyInPandas(merge, "bucket int, chunk long, grams binary, occurrences binary, n_r array<long>, hot_h array<long>, hot_sums array<double>")
 
 
@@ -258,23 +260,29 @@ def katz_scores(docs: DataFrame, spark: SparkSession, id_col: str = "doc_id", te
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``."""
     scratch = Scratch(spark)
     chunks = scratch.put(_chunks(docs, id_col, text_col), "chunks")
+    tokens = scratch.put(chunks.select("chunk", "tokens"), "tokens")
     n = chunks.agg(F.sum("n_train")).first()[0] or 0
     buckets = max(shuffle_width(spark), -(-n // BUCKET_TOKENS))
     word_counts = scratch.put(_count_words(chunks, buckets, n / 1000), "unigrams", ["kind"])
+    scratch.drop("chunks")
     stats = word_counts.where("kind = 1").agg(F.sum("v").alias("v"), *(F.sum(F.col("n_r")[r]).alias(f"n{r}") for r in range(CUT + 1))).first()
     uni = _Unigrams(n, [stats[f"n{r}"] or 0 for r in range(CUT + 1)], stats["v"] or 0)
+    table_ = word_counts.where("kind = 1")
+    base_id, total = {}, 0
+    for bucket, words in sorted(table_.select("bucket", "words").collect()):  # a number for each bucket
+        base_id[bucket], total = total, total + words
     # at most 1000 words make more than a thousandth each; and the start, which is no token
-    hot = np.array([r[0] for r in word_counts.where("kind = 1").select(F.explode("hot")).collect()] + [int(START.view(np.int64))], np.int64).view(np.uint64)
-    merged = scratch.put(_merge_bigrams(chunks, word_counts, buckets, uni, hot), "bigrams")
-    scratch.drop("chunks")
+    hot = np.array([base_id[b] + i for b, i in table_.select("bucket", F.explode("hot")).collect()], np.int64)
+    merged = scratch.put(_merge_bigrams(tokens, word_counts, buckets, uni, base_id, hot), "bigrams")
+    scratch.drop("tokens")
     grams = merged.where("bucket >= 0")
     n2 = grams.agg(*(F.sum(F.col("n_r")[r]).alias(f"n{r}") for r in range(CUT + 1))).first()
     d = discounts([n2[f"n{r}"] or 0 for r in range(CUT + 1)])
     width = CUT + 2
     parts = grams.select(F.posexplode("hot_h").alias("i", "h"), "hot_sums").select("h", F.slice("hot_sums", F.col("i") * width + 1, width).alias("s"))
     sums = {r["h"]: [r[f"s{k}"] for k in range(width)] for r in parts.groupBy("h").agg(*(F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(width))).collect()}
-    hot_h = np.sort(np.array(list(sums), np.int64).view(np.uint64))
-    hot_sums = np.array([sums[int(h)] for h in hot_h.view(np.int64)]).reshape(-1, width)
+    hot_h = np.sort(np.array(list(sums), np.int64))
+    hot_sums = np.array([sums[int(h)] for h in hot_h]).reshape(-1, width)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -291,7 +299,7 @@ def katz_scores(docs: DataFrame, spark: SparkSession, id_col: str = "doc_id", te
                 out = []
                 for i in range(sum(k[0] == "c" for k in o.files)):
                     doc = o[f"d{i}"].astype(np.int64)
-                    out.append({"chunk": int(o[f"c{i}"]), "part": _dump(s=np.bincount(doc, np.repeat(logs[o[f"g{i}"]], o[f"m{i}"].astype(np.int64))))})
+                    out.append({"chunk": int(o[f"c{i}"]), "part": _dump(s=np.bincount(doc, np.repeat(logs[np.cumsum(o[f"g{i}"], dtype=np.int64)], o[f"m{i}"].astype(np.int64))))})
                 yield pd.DataFrame(out)
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
