@@ -40,7 +40,7 @@ from .katz import NULL, _bucket, _dump, _load, _small
 from .textops import mix, pack, prefix_hashes, slices, span_hashes
 
 LENGTH, GRAM = 50, 24
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 3_000_000
 _SENT = "part int, src long, data binary"
 _TOLD = "part int, src long, data binary, n long"
 
@@ -52,13 +52,13 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def chunk() -> pd.DataFrame:
             nonlocal number
             data, at = pack(texts)
-            row = pd.DataFrame([{"src": (task << 32) + number, "text": _dump(data=data, at=at, keys=np.array([NULL if k is None else k for k in keys], np.int64))}])
+            row = pd.DataFrame([{"src": (task << 32) + number, "text": _dump(data=data, at=at, step=_small(np.diff(_anchors(data, at), prepend=0)), keys=np.array([NULL if k is None else k for k in keys], np.int64))}])
             number += 1
             keys.clear(), texts.clear()
             return row
 
         for batch in batches:
-            for part in slices(batch, "t", 2_000_000):
+            for part in slices(batch, "t", 1_000_000):
                 keys += [None if k is pd.NA else int(k) for k in part["k"].astype("Int64").array]
                 texts += list(part["t"])
                 size += sum(len(t or "") for t in part["t"]) + 64 * len(part)
@@ -71,34 +71,42 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).mapInPandas(of, "src long, text binary")
 
 
+def _anchors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places whose hash is the least of some window of neighbours within one text."""
+    n, wide = len(data) - GRAM + 1, LENGTH - GRAM + 1
+    if n < wide:
+        return np.zeros(0, np.int64)
+    prefix = prefix_hashes(data)
+    h = span_hashes(prefix, slice(0, n), slice(GRAM, n + GRAM))
+    least, size = h, 1
+    while 2 * size <= wide:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    least = np.minimum(least[: len(least) - wide + size], least[wide - size :])
+    for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):  # a string ends before its text's line feed
+        least[max(a, z - LENGTH) : z] = 0
+    # a hash is the least of a window that holds it if the greatest of those windows' least ones is no less
+    most = np.concatenate([np.zeros(wide - 1, np.uint64), least, np.zeros(n - len(least), np.uint64)])
+    size = 1
+    while 2 * size <= wide:
+        most, size = np.maximum(most[:-size], most[size:]), 2 * size
+    most = np.maximum(most[: len(most) - wide + size], most[wide - size :])
+    return np.flatnonzero(most[:n] == h)
+
+
 class _Chunk:
     """A chunk's texts with their anchors."""
 
     def __init__(self, blob: bytes):
         x = _load(blob)
         self.data, self.at, self.keys = x["data"], x["at"], x["keys"]
-        self.doc_of = np.repeat(np.arange(len(self.keys)), np.diff(self.at))
+        self.place = np.cumsum(x["step"], dtype=np.int64)
         self.prefix = prefix_hashes(self.data)
-        n, wide = len(self.data) - GRAM + 1, LENGTH - GRAM + 1
-        if n < wide:
-            self.place, self.hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            return
-        h = span_hashes(self.prefix, np.arange(n), np.arange(n) + GRAM)
-        least, size = h, 1
-        while 2 * size <= wide:
-            least, size = np.minimum(least[:-size], least[size:]), 2 * size
-        least = np.minimum(least[: len(least) - wide + size], least[wide - size :])
-        last = self.doc_of[np.minimum(np.arange(len(least)) + LENGTH, len(self.data) - 1)]  # the string ends before the line feed
-        inside = self.doc_of[: len(least)] == last
-        chosen = np.zeros(n, bool)
-        for o in range(wide):
-            chosen[o : o + len(least)] |= (h[o : o + len(least)] == least) & inside
-        self.place = np.flatnonzero(chosen)
-        self.hash = h[self.place]
+        self.hash = span_hashes(self.prefix, self.place, self.place + GRAM)
+        self.doc = np.searchsorted(self.at, self.place, side="right") - 1  # of each anchor
 
     def around(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the strings that hold an anchor start at first and end at last."""
-        doc = self.doc_of[place]
+        doc = np.searchsorted(self.at, place, side="right") - 1
         return np.maximum(place + GRAM - LENGTH, self.at[doc]), np.minimum(place + LENGTH, self.at[doc + 1] - 1)
 
 
@@ -149,7 +157,7 @@ def _repeated(chunks: DataFrame, buckets: int) -> DataFrame:
 def _distinct(c: _Chunk) -> tuple[np.ndarray, np.ndarray]:
     """A chunk's distinct anchors, and whether several of its documents have them."""
     h, of = np.unique(c.hash, return_inverse=True)
-    key = c.keys[c.doc_of[c.place]]
+    key = c.keys[c.doc]
     low, high = np.full(len(h), np.iinfo(np.int64).max), np.full(len(h), NULL)
     np.minimum.at(low, of, key)
     np.maximum.at(high, of, key)
@@ -177,7 +185,7 @@ def _surroundings(chunks: DataFrame, again: DataFrame, buckets: int) -> DataFram
         c = _Chunk(left["text"].iloc[0])
         place, g, s, of = _candidates(c, _told(right, "again"))
         least = np.full(len(g), np.iinfo(np.int64).max)
-        np.minimum.at(least, of, c.keys[c.doc_of[place]])
+        np.minimum.at(least, of, c.keys[np.searchsorted(c.at, place, side="right") - 1])
         return _send(int(left["src"].iloc[0]), g, buckets, around=s, least=least)
 
     def tell(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -202,14 +210,14 @@ def _fragments(chunks: DataFrame, again: DataFrame, around: DataFrame, buckets:
         place, _, _, of = _candidates(c, _told(right[right["kind"] == 0], "again"))
         mixed, least = _told(right[right["kind"] == 1], "mixed").astype(bool), _told(right[right["kind"] == 1], "least").astype(np.int64)
         start, end = c.around(place)
-        gone = (least[of] < c.keys[c.doc_of[place]]) & ~mixed[of] if len(place) else np.zeros(0, bool)
+        gone = (least[of] < c.keys[np.searchsorted(c.at, place, side="right") - 1]) & ~mixed[of] if len(place) else np.zeros(0, bool)
         run_s, run_e = _union(start[gone], end[gone])
         some = mixed[of] if len(place) else np.zeros(0, bool)
         s, e = _union(start[some], end[some])
         name = span_hashes(c.prefix, s, e) ^ mix((e - s).astype(np.uint64))
         h, first, of = np.unique(name, return_index=True, return_inverse=True)
         key = np.full(len(h), np.iinfo(np.int64).max)
-        np.minimum.at(key, of, c.keys[c.doc_of[s]])
+        np.minimum.at(key, of, c.keys[np.searchsorted(c.at, s, side="right") - 1])
         fs, fe = s[first], e[first]
         size = fe - fs
         ends = np.concatenate(([0], np.cumsum(size)))
@@ -272,12 +280,12 @@ class _Fragments:
 
     def characters(self) -> np.ndarray:
         """The 8 bytes from each position on as one number, nulls after the fragment's end."""
-        c, n = np.zeros(len(self.flat), np.uint64), len(self.flat)
-        for j in range(8):
-            byte = np.zeros(n, np.uint64)
-            byte[: n - j] = self.flat[j:]
-            c |= np.where(self.left > j, byte, np.uint64(0)) << np.uint64(56 - 8 * j)
-        return c
+        at = np.arange(len(self.flat)) + 8 * self.of
+        c = np.zeros(len(self.flat) + 8 * len(self.least) + 8, np.uint64)
+        c[at] = self.flat
+        for j in (1, 2, 4):
+            c[:-j] = (c[:-j] << np.uint64(8 * j)) | c[j:]
+        return c[at]
 
     def after(self, x: np.ndarray, j: int) -> np.ndarray:
         """Values j positions on; 0 after the fragment's end."""

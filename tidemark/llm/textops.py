@@ -49,7 +49,7 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(prefix: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
     return mix((prefix[end] - prefix[start]) * _power(len(prefix))[1][start])
 
 
