@@ -7,9 +7,9 @@ these places, without loss, and the suffix array is built over them:
 
 1. Of every ``LENGTH - GRAM + 1`` neighbouring ``GRAM``-byte strings the one with the least hash is an anchor, so
    equal strings have equal anchors at equal places. Anchors that only one document has are left.
-2. Where all occurrences of an anchor lie in the same surroundings, as in copies, the strings around it are
-   judged by the smallest id. The surroundings of all other anchors are merged into fragments, and fragments with
-   equal bytes are kept once, with their smallest id.
+2. Where an anchor's surroundings can share a string with equal surroundings only, as in copies, the strings in
+   them are judged by the smallest id. All other surroundings are merged into fragments, and fragments with equal
+   bytes are kept once, with their smallest id.
 3. Positions of fragments at 1 and 2 modulo 3 are the difference cover. Their triples of 8-byte characters are
    sorted and named; triples of names, which cover 72 bytes and so more than ``LENGTH``, are sorted and named
    again, which ends the recursion. The remaining positions are merged in by their first bytes and the names that
@@ -164,8 +164,8 @@ def _distinct(c: _Chunk) -> tuple[np.ndarray, np.ndarray]:
     return h, low < high
 
 
-def _candidates(c: _Chunk, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of anchors that several documents have; hashes and surroundings of the distinct ones; which each is."""
+def _candidates(c: _Chunk, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of anchors that several documents have; hashes, surroundings and first places of the distinct ones; which each is."""
     h, _ = _distinct(c)
     keep = again[np.searchsorted(h, c.hash)].astype(bool) if len(h) else np.zeros(0, bool)
     place, gram = c.place[keep], c.hash[keep]
@@ -175,29 +175,59 @@ def _candidates(c: _Chunk, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     new = np.concatenate(([True], (g[1:] != g[:-1]) | (s[1:] != s[:-1]))) if len(g) else np.zeros(0, bool)
     of = np.empty(len(g), np.int64)
     of[order] = np.cumsum(new) - 1
-    return place, g[new], s[new], of
+    return place, g[new], s[new], place[order][new], of
+
+
+#: A string that holds an anchor reaches so far to its left and right, at least, in one of three ways.
+_PARTS = (((LENGTH - GRAM + 2) // 3 * 2, 0), ((LENGTH - GRAM + 2) // 3, (LENGTH - GRAM) // 3), (0, LENGTH - GRAM - (LENGTH - GRAM + 2) // 3 + 1))
+
+
+def _parts(c: _Chunk, place: np.ndarray, around: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the parts of surroundings of which two that share a string have one in common."""
+    start, end = c.around(place)
+    out = []
+    for left, right in _PARTS:
+        there = (place - left >= start) & (place + GRAM + right <= end)
+        h = span_hashes(c.prefix, np.where(there, place - left, place), np.where(there, place + GRAM + right, place))
+        out.append((np.where(there, h, around) >> np.uint64(32)).astype(np.uint32))
+    return out
+
+
+def _groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The order of pairs, the number of each pair's group, and the number of groups."""
+    order = np.lexsort((b, a))
+    of = np.empty(len(order), np.int64)
+    new = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    of[order] = np.concatenate(([0], np.cumsum(new))) if len(order) else order
+    return order, of, int(of.max()) + 1 if len(of) else 0
 
 
 def _surroundings(chunks: DataFrame, again: DataFrame, buckets: int) -> DataFrame:
-    """Step 2: for each chunk's distinct surroundings, whether the anchor has others, and the smallest id."""
+    """Step 2: for each chunk's distinct surroundings, whether others may share a string with them, and their smallest id."""
 
     def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         c = _Chunk(left["text"].iloc[0])
-        place, g, s, of = _candidates(c, _told(right, "again"))
+        place, g, s, first, of = _candidates(c, _told(right, "again"))
+        left_, both, right_ = _parts(c, first, s)
         least = np.full(len(g), np.iinfo(np.int64).max)
         np.minimum.at(least, of, c.keys[np.searchsorted(c.at, place, side="right") - 1])
-        return _send(int(left["src"].iloc[0]), g, buckets, around=s, least=least)
+        return _send(int(left["src"].iloc[0]), g, buckets, around=s, least=least, p0=left_, p1=both, p2=right_)
 
     def tell(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [_load(d) for d in pdf["data"]]
         g = np.concatenate([np.cumsum(p["step"], dtype=np.uint64) for p in parts])
         s, key = np.concatenate([p["around"] for p in parts]), np.concatenate([p["least"] for p in parts])
-        _, of = np.unique(g, return_inverse=True)
-        low, high, least = np.full(of.max() + 1, np.uint64(2**64 - 1)), np.zeros(of.max() + 1, np.uint64), np.full(of.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, of, s)
-        np.maximum.at(high, of, s)
-        np.minimum.at(least, of, key)
-        return _answers(pdf, [len(p["step"]) for p in parts], mixed=(low < high)[of], least=least[of])
+        _, same, _ = _groups(g, s)
+        least = np.full(len(same), np.iinfo(np.int64).max)
+        np.minimum.at(least, same, key)
+        mixed = np.zeros(len(g), bool)
+        for k in ("p0", "p1", "p2"):
+            _, of, n = _groups(g, np.concatenate([p[k] for p in parts]))
+            low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+            np.minimum.at(low, of, same)
+            np.maximum.at(high, of, same)
+            mixed |= (low < high)[of]
+        return _answers(pdf, [len(p["step"]) for p in parts], mixed=mixed, least=least[same])
 
     return chunks.groupBy("src").cogroup(again.groupBy("src")).applyInPandas(ask, _SENT).groupBy("part").applyInPandas(tell, _TOLD)
 
@@ -207,7 +237,7 @@ def _fragments(chunks: DataFrame, again: DataFrame, around: DataFrame, buckets:
 
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         src, c = int(left["src"].iloc[0]), _Chunk(left["text"].iloc[0])
-        place, _, _, of = _candidates(c, _told(right[right["kind"] == 0], "again"))
+        place, _, _, _, of = _candidates(c, _told(right[right["kind"] == 0], "again"))
         mixed, least = _told(right[right["kind"] == 1], "mixed").astype(bool), _told(right[right["kind"] == 1], "least").astype(np.int64)
         start, end = c.around(place)
         gone = (least[of] < c.keys[np.searchsorted(c.at, place, side="right") - 1]) & ~mixed[of] if len(place) else np.zeros(0, bool)
