@@ -40,7 +40,7 @@ from .common import Scratch, shuffle_width, table
 from .textops import mix, slices, word_hashes
 
 CUT = 5
-CHUNK_CHARS, BUCKET_TOKENS = 12_000_000, 1_500_000
+CHUNK_CHARS, BUCKET_TOKENS = 11_000_000, 1_500_000
 END, START = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0x57A2757A2757A275)
 NULL = np.iinfo(np.int64).min
 
@@ -183,12 +183,15 @@ def _merge_bigrams(chunks: DataFrame, word_counts: DataFrame, buckets: int, uni:
         t = _load(left["tokens"].iloc[0])
         token = t["low"].astype(np.int64) | t["mid"].astype(np.int64) << 8 | t["high"].astype(np.int64) << 16
         n, train, start = t["n"].astype(np.int64), t["train"], int(t["start"])
-        doc = np.repeat(np.arange(len(n)), n)
+        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
         first = np.cumsum(n) - n
+        del t
         c = total[token]
         base = np.bincount(doc, np.log10((c + 1) / (uni.n + uni.v + 1)), len(n))
         known = np.bincount(doc[c > 0], minlength=len(n))
-        rows = [{"bucket": -1 - (chunk & 0x3FFFFFFF) % (1 << 30), "chunk": chunk, "data": _dump(keys=t["keys"], train=train, n=n, known=known, base=base)}]
+        keys = _load(left["tokens"].iloc[0])["keys"]
+        del c
+        rows = [{"bucket": -1 - (chunk & 0x3FFFFFFF) % (1 << 30), "chunk": chunk, "data": _dump(keys=keys, train=train, n=n, known=known, base=base)}]
         history = np.empty_like(token)
         history[1:] = token[:-1]
         history[first] = start
@@ -197,8 +200,10 @@ def _merge_bigrams(chunks: DataFrame, word_counts: DataFrame, buckets: int, uni:
         at = _bucket(np.where(is_hot[history], mix(spread[history] ^ vocabulary[token].astype(np.uint64)), spread[history]), buckets)
         size = len(vocabulary)
         key = (at * size + history) * size + token
+        del at, history, token
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
+        del order
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         many = np.diff(np.append(cut, len(key)))
         taught = np.add.reduceat(train[doc].astype(np.int64), cut)
@@ -223,7 +228,7 @@ def _merge_bigrams(chunks: DataFrame, word_counts: DataFrame, buckets: int, uni:
         w = np.concatenate([np.cumsum(p["w"], dtype=np.int64)[p["at"]] for p in parts])
         wc = np.concatenate([p["wc"].astype(np.int64)[p["at"]] for p in parts])
         c = np.concatenate([p["taught"].astype(np.int64) for p in parts])
-        order = np.lexsort((w, h))
+        order = np.lexsort((w, h)).astype(np.uint32)
         new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])))
         gram = np.empty(len(order), np.int64)
         gram[order] = np.cumsum(new) - 1
