@@ -25,17 +25,18 @@ probability is that of the unknown word, 1; an empty table gives an empty result
 
 from __future__ import annotations
 
-import io
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import dump as _dump
+from .arrays import load as _load
+from .arrays import small as _small
 from .common import Scratch, shuffle_width, table
 from .textops import mix, slices, word_hashes
 
@@ -45,21 +46,6 @@ END, START = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0x57A2757A2757A275)
 NULL = np.iinfo(np.int64).min
 
 
-def _dump(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
-
-
-def _load(data: bytes) -> dict[str, np.ndarray]:
-    return np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data)))
-
-
-def _small(x: np.ndarray) -> np.ndarray:
-    top = int(x.max()) if len(x) else 0
-    return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
-
-
 def is_held_out(key: int | None, modulus: int = 7, remainder: int = 2) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % modulus == remainder
 
@@ -223,7 +209,6 @@ def _merge_bigrams(chunks: DataFrame, word_counts: DataFrame, buckets: int, uni:
         if bucket < 0:
             return pd.DataFrame([{"bucket": -1, "chunk": c, "grams": None, "occurrences": d, "n_r": None, "hot_h": None, "hot_sums": None} for c, d in zip(pdf["chunk"], pdf["data"], strict=True)])
         parts = [_load(d) for d in pdf["data"]]
-        parts = [{k: p[k] for k in p.files} for p in parts]
         h = np.concatenate([np.repeat(np.cumsum(p["h"], dtype=np.int64), p["runs"].astype(np.int64)) for p in parts])
         w = np.concatenate([np.cumsum(p["w"], dtype=np.int64)[p["at"]] for p in parts])
         wc = np.concatenate([p["wc"].astype(np.int64)[p["at"]] for p in parts])
@@ -302,7 +287,7 @@ def katz_scores(docs: DataFrame, spark: SparkSession, id_col: str = "doc_id", te
                     own[is_hot] = hot_sums[at[is_hot]]
                 logs = gram_log10(of, wc, c, own, uni, d)
                 out = []
-                for i in range(sum(k[0] == "c" for k in o.files)):
+                for i in range(sum(k[0] == "c" for k in o)):
                     doc = o[f"d{i}"].astype(np.int64)
                     out.append({"chunk": int(o[f"c{i}"]), "part": _dump(s=np.bincount(doc, np.repeat(logs[np.cumsum(o[f"g{i}"], dtype=np.int64)], o[f"m{i}"].astype(np.int64))))})
                 yield pd.DataFrame(out)

@@ -17,7 +17,8 @@ these places, without loss, and the suffix array is built over them:
 
 Texts are held in chunks of some megabytes and all exchanges carry compressed arrays for a chunk and a bucket or
 range; answers come back in the order of the questions. A string that is in very many documents is one entry for
-each chunk, and one for each of its distinct surroundings. Strings are compared by 64-bit hashes.
+each chunk, and one for each of its distinct surroundings. Strings are compared by 64-bit hashes, neighbours in
+the order of suffixes by 48 bits of them.
 
 Defined results: a null text counts as empty; an empty text loses nothing; a null id is smaller than all others;
 rows with equal ids are one document, so they do not remove each other's bytes; an empty table gives an empty
@@ -35,12 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import dump as _dump
+from .arrays import load as _load
+from .arrays import small as _small
 from .common import Scratch, shuffle_width, table
-from .katz import NULL, _bucket, _dump, _load, _small
+from .katz import NULL, _bucket
 from .textops import mix, pack, prefix_hashes, slices, span_hashes
 
 LENGTH, GRAM = 50, 24
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS, BUCKET_CHARS = 3_000_000, 16_000_000
 _SENT = "part int, src long, data binary"
 _TOLD = "part int, src long, data binary, n long"
 
@@ -336,7 +340,7 @@ def _back(df: pd.DataFrame, key: np.ndarray, cuts: np.ndarray, name: str, base:
     """Answers to what _ranged() sent, at their positions."""
     order = np.argsort(np.searchsorted(cuts, key, side="right"), kind="stable")
     df = df.sort_values("part")
-    got = [_load(d)[name] + (base[int(p)] if base else 0) for p, d in zip(df["part"], df["data"], strict=True)]
+    got = [_load(d)[name].astype(np.int64) + (base[int(p)] if base else 0) for p, d in zip(df["part"], df["data"], strict=True)]
     out = np.zeros(len(key), got[0].dtype if got else np.int64)
     if got:
         out[order] = np.concatenate(got)
@@ -351,24 +355,26 @@ def _name(pdf: pd.DataFrame) -> pd.DataFrame:
     new = np.concatenate(([False], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (c[order][1:] != c[order][:-1])))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(new)
-    return _answers(pdf, [len(p["a"]) for p in parts], int(new.sum()) + 1, name=rank)
+    return _answers(pdf, [len(p["a"]) for p in parts], int(new.sum()) + 1, name=_small(rank))
 
 
-def _bases(names: DataFrame) -> tuple[dict[int, int], int]:
-    """The first name of each range, from 1 on; there are as many ranges as shuffle partitions."""
+def _bases(names: DataFrame) -> dict[int, int]:
+    """The first name of each range, from 1 on; there are about as many ranges as shuffle partitions."""
     base, total = {}, 1
     for part, n in sorted(names.groupBy("part").agg(F.max("n")).collect()):
         base[part], total = total, total + n
-    return base, total
+    return base
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     """Merges the classes of a range into the order of suffixes; tells which strings a smaller id has."""
     parts = [_load(d) for d in pdf["data"]]
-    x = {k: np.concatenate([p[k] for p in parts]) for k in ("c", "kind", "r", "r1", "r2", "h", "least")}
+    x = {k: np.concatenate([p[k] for p in parts]) for k in ("c", "kind", "r", "r1", "r2", "h", "h2", "least")}
+    x["h"] = x["h"].astype(np.uint64) << np.uint64(16) | x["h2"]
+    x["c"] = x["c"].astype(np.uint64)
     # first byte and the name after it; first two bytes and the name after them
-    one = (x["c"] >> np.uint64(56) << np.uint64(56)) | x["r1"].astype(np.uint64)
-    two = (x["c"] >> np.uint64(48) << np.uint64(48)) | x["r2"].astype(np.uint64)
+    one = (x["c"] >> np.uint64(8) << np.uint64(56)) | x["r1"].astype(np.uint64)
+    two = (x["c"] << np.uint64(48)) | x["r2"].astype(np.uint64)
     own = [np.flatnonzero(x["kind"] == k) for k in range(3)]
     key = {0: (two, one), 1: (one, x["r"]), 2: (two, x["r"])}
     own = [i[np.lexsort([y[i] for y in key[k]])] for k, i in enumerate(own)]
@@ -413,35 +419,35 @@ def _sorted_strings(texts: DataFrame, scratch: Scratch, ranges: int) -> DataFram
                 yield _ranged(src, c[i], cuts, a=c[i], b=f.after(c, 8)[i], c=f.after(c, 16)[i])
 
     names = scratch.put(texts.select("src", "text").mapInPandas(triples, _SENT).groupBy("part").applyInPandas(_name, _TOLD), "names")
-    base, total = _bases(names)
-    steps = np.arange(1, ranges) * total // ranges
+    base = _bases(names)
 
-    def named(f: _Fragments, told: pd.DataFrame) -> np.ndarray:
-        c, i = f.characters(), np.flatnonzero(f.offset % 3 != 0)
-        out = np.zeros(len(c), np.int64)
+    def named(f: _Fragments, c: np.ndarray, told: pd.DataFrame, base: dict[int, int]) -> np.ndarray:
+        i, out = np.flatnonzero(f.offset % 3 != 0), np.zeros(len(c), np.int64)
         out[i] = _back(told, c[i], cuts, "name", base)
         return out
 
     def recurse(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         f = _Fragments(left["text"].iloc[0])
-        n, i = named(f, right), np.flatnonzero(f.offset % 3 != 0)
-        return _ranged(int(left["src"].iloc[0]), n[i], steps, a=_small(n[i]), b=_small(f.after(n, 24)[i]), c=_small(f.after(n, 48)[i]))
+        c, i = f.characters(), np.flatnonzero(f.offset % 3 != 0)
+        n = named(f, c, right, base)
+        # names are in the order of characters, so the same ranges part them
+        return _ranged(int(left["src"].iloc[0]), c[i], cuts, a=_small(n[i]), b=_small(f.after(n, 24)[i]), c=_small(f.after(n, 48)[i]))
 
     pairs = lambda told: texts.select("src", "text").groupBy("src").cogroup(told.groupBy("src"))
     ranks = scratch.put(pairs(names).applyInPandas(recurse, _SENT).groupBy("part").applyInPandas(_name, _TOLD), "ranks")
-    base2, _ = _bases(ranks)
+    scratch.drop("names")
+    base2 = _bases(ranks)
 
     def merged(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         f = _Fragments(left["text"].iloc[0])
-        c, i = f.characters(), np.flatnonzero(f.offset % 3 != 0)
-        n, r = named(f, right[right["kind"] == 0]), np.zeros(len(c), np.int64)
-        r[i] = _back(right[right["kind"] == 1], n[i], steps, "name", base2)
+        c = f.characters()
+        r = named(f, c, right, base2)
         whole = np.flatnonzero(f.left >= LENGTH)
         prefix = prefix_hashes(f.flat)
-        return _ranged(int(left["src"].iloc[0]), c[whole], cuts, c=c[whole], kind=(f.offset % 3)[whole].astype(np.uint8), r=_small(r[whole]), r1=_small(f.after(r, 1)[whole]), r2=_small(f.after(r, 2)[whole]), h=span_hashes(prefix, whole, whole + LENGTH), least=f.least[f.of[whole]])
+        h = span_hashes(prefix, whole, whole + LENGTH)
+        return _ranged(int(left["src"].iloc[0]), c[whole], cuts, c=(c[whole] >> np.uint64(48)).astype(np.uint16), kind=(f.offset % 3)[whole].astype(np.uint8), r=_small(r[whole]), r1=_small(f.after(r, 1)[whole]), r2=_small(f.after(r, 2)[whole]), h=(h >> np.uint64(32)).astype(np.uint32), h2=(h >> np.uint64(16)).astype(np.uint16), least=f.least[f.of[whole]])
 
-    both = names.withColumn("kind", F.lit(0)).unionByName(ranks.withColumn("kind", F.lit(1)))
-    order = scratch.put(pairs(both).applyInPandas(merged, _SENT).groupBy("part").applyInPandas(_merge, _TOLD), "order")
+    order = scratch.put(pairs(ranks).applyInPandas(merged, _SENT).groupBy("part").applyInPandas(_merge, _TOLD), "order")
 
     def owners(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         f = _Fragments(left["text"].iloc[0])
@@ -496,7 +502,7 @@ def earlier_strings_removed(docs: DataFrame, spark: SparkSession, id_col: str =
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``."""
     scratch = Scratch(spark)
     chunks = scratch.put(_chunks(docs, id_col, text_col), "chunks")
-    buckets = max(shuffle_width(spark), chunks.count())
+    buckets = max(shuffle_width(spark), -(-chunks.count() * CHUNK_CHARS // BUCKET_CHARS))
     again = scratch.put(_repeated(chunks, buckets), "again")
     around = scratch.put(_surroundings(chunks, again, buckets), "around")
     cut = scratch.put(_fragments(chunks, again, around, buckets), "cut")
@@ -506,7 +512,7 @@ def earlier_strings_removed(docs: DataFrame, spark: SparkSession, id_col: str =
     scratch.drop("cut")
     texts = united.where("text is not null")
     strings = scratch.put(_sorted_strings(texts, scratch, buckets), "strings")
-    for name in ("names", "ranks", "order"):
+    for name in ("ranks", "order"):
         scratch.drop(name)
     told = (
         own.select("src", "part", "data", F.lit(0).alias("kind"))
