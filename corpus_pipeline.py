@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import Scratch, table
+from tidemark.llm.common import Scratch, ships_package, table
 from tidemark.llm.mixing import mixing_stage
 from tidemark.llm.simhash import near_duplicate_stage
 from tidemark.llm.templates import decontamination_stage
@@ -16,11 +16,11 @@ from tidemark.llm.tokenfiles import token_stage
 from tidemark.llm.toxicity import toxicity_stage
 
 STAGES = [
-    ("toxicity", toxicity_stage),
-    ("simhash", near_duplicate_stage),
-    ("decontamination", decontamination_stage),
-    ("mixing", mixing_stage),
-    ("tokens", token_stage),
+    ("toxicity", ships_package(toxicity_stage)),
+    ("simhash", ships_package(near_duplicate_stage)),
+    ("decontamination", ships_package(decontamination_stage)),
+    ("mixing", ships_package(mixing_stage)),
+    ("tokens", ships_package(token_stage)),
 ]
 
 #: Neither the classifier nor fingerprints nor token ids can be stated in SQL; tests compare stages with brute force.

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Sequence
+import zipfile
+from collections.abc import Callable, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Removes a finished query's shuffle files at once instead of at some later garbage collection.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -36,6 +40,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         self.spark = spark
+        if int(spark.conf.get(_BATCH)) > 2000:  # Python workers hold a batch of texts in several forms
+            spark.conf.set(_BATCH, "2000")
         self.root = f"{base or tempfile.mkdtemp(prefix='tidemark-')}/t-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -60,5 +66,27 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_sent: set[str] = set()
+
+
+def ships_package(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Sends this package to the executors, once for each application, before a query runs."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        context = spark.sparkContext
+        if context.applicationId not in _sent:
+            package = Path(__file__).resolve().parents[1]
+            to = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+            with zipfile.ZipFile(to, "w") as z:
+                for f in sorted(package.rglob("*.py")):
+                    z.write(f, f.relative_to(package.parent))
+            context.addPyFile(str(to))
+            _sent.add(context.applicationId)
+        return query(spark, *args, **kwargs)
+
+    return run
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import ships_package
 from .katz import op1_katz
 from .kdshards import op9_kdshards
 from .mixing import OP8_SQL, op8_mix
@@ -19,7 +20,7 @@ from .urlfilter import op5_urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_katz": op1_katz,
         "op2_simhash": op2_simhash,
         "op3_suffixes": op3_suffixes,
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_kdshards": op9_kdshards,
         "op10_toxicity": op10_toxicity,
     }
+    return {name: ships_package(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -232,7 +232,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat an id are one document; rows without an id stay.
     """
     groups = near_duplicate_groups(docs, spark, shingle=5, width=8, blocks=32, choose=1, distance=84)
-    gone = groups.where("id <> group_id").select(F.col("id").alias("doc_id")).distinct()
+    scratch = Scratch(spark)  # written, so that its size decides how it is joined
+    groups = scratch.put(groups.select("id", "group_id"), "groups")
+    gone = scratch.put(groups.where("id <> group_id").select(F.col("id").alias("doc_id")).distinct(), "gone")
     kept = docs.join(gone, "doc_id", "left_anti")
-    twice = groups.where("id is not null").groupBy(F.col("id").alias("doc_id")).count().where("count > 1").select("doc_id")
+    twice = scratch.put(groups.where("id is not null").groupBy(F.col("id").alias("doc_id")).count().where("count > 1").select("doc_id"), "twice")
     return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

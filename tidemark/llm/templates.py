@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 from .textops import LOWER, mix, pack, prefix_hashes, slices, span_hashes, words
 
 MOST_WINDOWS = 1_000_000
@@ -229,5 +229,6 @@ def op7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go; rows without an id stay."""
-    gone = contaminated(docs, table(spark, sf_dir, "benchmark"), spark).select(F.col("id").alias("doc_id")).distinct()
+    # written, so that its size decides how it is joined
+    gone = Scratch(spark).put(contaminated(docs, table(spark, sf_dir, "benchmark"), spark).select(F.col("id").alias("doc_id")).distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti")

@@ -78,7 +78,7 @@ def word_hashes(texts: Iterable[str | None], lower: bool = True) -> tuple[np.nda
     return span_hashes(prefix_hashes(data), start, end), first
 
 
-def slices(frame: pd.DataFrame, text: str = "text", most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def slices(frame: pd.DataFrame, text: str = "text", most: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Cuts a frame into pieces of about ``most`` characters; a longer text is a piece of its own."""
     size = frame[text].map(lambda t: 0 if t is None else len(t)).to_numpy(np.int64) + 64
     piece = np.cumsum(size) // most

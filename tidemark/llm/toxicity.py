@@ -53,7 +53,7 @@ def fit_nnpu(p_docs: list[np.ndarray], u_docs: list[np.ndarray], prior: float, f
     docs, n_p = [*p_docs, *u_docs], len(p_docs)
     if not n_p or not u_docs:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, False)
-    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    row = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
     vocabulary, col = np.unique(np.concatenate(docs), return_inverse=True)
     in_p = np.bincount(col[row < n_p], minlength=len(vocabulary))
     in_u = np.bincount(col[row >= n_p], minlength=len(vocabulary))
@@ -79,7 +79,7 @@ def fit_nnpu(p_docs: list[np.ndarray], u_docs: list[np.ndarray], prior: float, f
     return Model(vocabulary[best], w, bias, True)
 
 
-def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, positives: int = 6000, unlabelled: int = 12000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, positives: int = 4000, unlabelled: int = 8000) -> Model:
     """Labels of rows whose crc32(doc_id) is divisible by 5 are held out."""
     marks = labels.where(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     stats = marks.agg(F.count("toxic").alias("n"), F.sum("toxic").alias("toxic")).first()
@@ -99,10 +99,8 @@ def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, positives: in
                 h, first = word_hashes(part["text"])
                 yield pd.DataFrame({"h": [np.unique(h[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], "u": part["u"].to_numpy(), "p": part["p"].to_numpy()})
 
-    got = sample.mapInPandas(distinct, "h binary, u boolean, p boolean").collect()
-    arrays = [np.frombuffer(r["h"], np.uint64) for r in got]
-    order = sorted(range(len(got)), key=lambda i: bytes(got[i]["h"]))  # the same sums whatever the order of rows
-    return fit_nnpu([arrays[i] for i in order if got[i]["p"]], [arrays[i] for i in order if got[i]["u"]], prior)
+    got = sorted((bytes(r["h"]), r["u"], r["p"]) for r in sample.mapInPandas(distinct, "h binary, u boolean, p boolean").toLocalIterator())  # the same sums whatever the order of rows
+    return fit_nnpu([np.frombuffer(h, np.uint64) for h, _, p in got if p], [np.frombuffer(h, np.uint64) for h, u, _ in got if u], prior)
 
 
 def scored(docs: DataFrame, model: Model, spark: SparkSession, columns: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
