@@ -122,14 +122,13 @@ class Encoder:
     encoded together, a line feed between them. Other texts are encoded as a whole.
     """
 
-    #: About 250 MB.
-    MOST_PIECES = 1_600_000
     _LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
     _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-\u017f]*")
     _PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[0-9]+| ?[^ \t\n\r0-9{_LETTER}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
     _FEED = "\n"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_pieces: int):
+        self.most_pieces = most_pieces
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -168,7 +167,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [t != "" and "<|endoftext|>" not in t and bool(self._PLAIN.fullmatch(t)) for t in texts]
-        if len(self.known) > self.MOST_PIECES:
+        if len(self.known) > self.most_pieces:
             self._forget()
         before, number, places = len(self.known), self.known.__getitem__, []
         for t, p in zip(texts, plain, strict=True):
@@ -191,21 +190,25 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, most_pieces: int) -> Encoder:
     """One for each Python worker, which outlives a task."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, most_pieces)
+    _encoders[path].most_pieces = most_pieces
     return _encoders[path]
 
 
-def write_segments(docs: DataFrame, spark: SparkSession, tokenizer: str, scratch: Scratch, name: str = "segments", segment_tokens: int = 1_000_000) -> DataFrame:
-    """Encodes (doc_id, text) and writes the table of segments; returns it as read again."""
+def write_segments(docs: DataFrame, spark: SparkSession, tokenizer: str, scratch: Scratch, name: str = "segments", segment_tokens: int = 1_000_000, most_pieces: int = 1_600_000) -> DataFrame:
+    """Encodes (doc_id, text) and writes the table of segments; returns it as read again.
+
+    A Python worker remembers at most about ``most_pieces`` encoded pieces, of some 160 bytes each.
+    """
     order = F.xxhash64(text_or_empty())
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), order.alias("o"))
     dealt = dealt.repartitionByRange(shuffle_width(spark), F.col("doc_id").asc_nulls_first(), "o").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "o")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, range_ = encoder_of(tokenizer), TaskContext.get().partitionId()
+        encoder, range_ = encoder_of(tokenizer, most_pieces), TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         keys: list[int | None] = []
         lengths: list[int] = []
@@ -265,8 +268,8 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_files(docs: DataFrame, spark: SparkSession, tokenizer: str | None = None) -> DataFrame:
-    return read_documents(write_segments(docs, spark, tokenizer or tokenizer_path(), Scratch(spark)))
+def token_files(docs: DataFrame, spark: SparkSession, tokenizer: str | None = None, **options: int) -> DataFrame:
+    return read_documents(write_segments(docs, spark, tokenizer or tokenizer_path(), Scratch(spark), **options))
 
 
 def op4_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,4 +277,4 @@ def op4_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_files(docs, spark)
+    return token_files(docs, spark, most_pieces=300_000)
