@@ -88,5 +88,12 @@ def ships_package(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], **types: str) -> DataFrame:
+    """A few rows from the driver as literals of a plan, whose size is thereby known."""
+    structs = [F.struct(*(F.lit(v).cast(t).alias(c) for v, (c, t) in zip(row, types.items(), strict=True))) for row in rows]
+    none = F.array().cast(f"array<struct<{', '.join(f'{c}:{t}' for c, t in types.items())}>>")
+    return spark.range(1).select(F.inline(F.array(*structs) if structs else none))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

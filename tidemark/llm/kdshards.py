@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, text_or_empty
+from .common import Scratch, literal_rows, table, text_or_empty
 
 DIGIT = 16
 
@@ -63,7 +63,7 @@ def kd_shards(docs: DataFrame, spark: SparkSession, leaves: int | None = None, t
                 cuts[node] = {"dim": wide, "goal": r["w"] * (n // 2) / n, "before": 0, "at": []}
         if cuts:
             cuts = _medians(spark, now, cuts)
-            table_ = spark.createDataFrame([(k, c["dim"], *c["at"], c["with_ties"]) for k, c in cuts.items()], "node long, dim int, a0 long, a1 long, a2 long, a3 long, a4 long, a5 long, tie boolean")
+            table_ = literal_rows(spark, [(k, c["dim"], *c["at"], c["with_ties"]) for k, c in cuts.items()], node="long", dim="int", **{f"a{k}": "long" for k in range(6)}, tie="boolean")
             place = F.struct(F.element_at(F.array(*(f"d{i}" for i in range(dims))), F.col("dim") + 1).alias("p0"), *(_tie_digit(k).alias(f"p{k + 1}") for k in range(5)))
             edge = F.struct(*(F.col(f"a{k}").alias(f"p{k}") for k in range(6)))
             left = (place < edge) | ((place == edge) & F.col("tie"))
@@ -78,14 +78,14 @@ def kd_shards(docs: DataFrame, spark: SparkSession, leaves: int | None = None, t
             if n > 1:
                 after[node * 2 + 1] = (first + n // 2, n - n // 2)
         shares = after
-    shard = spark.createDataFrame([(k, first) for k, (first, _) in shares.items()], "node long, shard int")
+    shard = literal_rows(spark, [(k, first) for k, (first, _) in shares.items()], node="long", shard="int")
     return now.join(shard, "node").select("doc_id", "size", "text_crc32", "shard")
 
 
 def _medians(spark: SparkSession, rows: DataFrame, cuts: dict[int, dict]) -> dict[int, dict]:
     """Narrows each node's cut digit by digit; ``at`` gets the digits, ``with_ties`` whether its rows go left."""
     for step in range(6):
-        state = spark.createDataFrame([(k, c["dim"], float(c["goal"]), int(c["before"]), *(c["at"] + [0] * 6)[:6]) for k, c in cuts.items()], "node long, dim int, goal double, before long, a0 long, a1 long, a2 long, a3 long, a4 long, a5 long")
+        state = literal_rows(spark, [(k, c["dim"], float(c["goal"]), int(c["before"]), *(c["at"] + [0] * 6)[:6]) for k, c in cuts.items()], node="long", dim="int", goal="double", before="long", **{f"a{k}": "long" for k in range(6)})
         digits = [F.element_at(F.array("d0", "d1", "d2"), F.col("dim") + 1), *(_tie_digit(k) for k in range(5))]
         joined = rows.join(state, "node")
         for k in range(step):

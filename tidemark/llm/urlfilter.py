@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, literal_rows, table
 from .components import connected_components
 
 #: (verdict, host, path)
@@ -92,7 +92,7 @@ def judge(pages: DataFrame, spark: SparkSession, rules: Sequence[Rule] = RULES,
     targets = edges.select(F.explode(F.array("src", "dst")).alias("url"))
     sites = rows.select("host", "path", "node").unionByName(targets.select(host.alias("host"), path.alias("path"), _node(F.col("url")).alias("node")))
 
-    book = spark.createDataFrame([(v == "allow", h, p, h + p, len(h + p)) for v, h, p in rules] or [(True, "", "", "", -1)], "allow boolean, r_host string, r_path string, rule string, length int").where("length >= 0")
+    book = literal_rows(spark, [(v == "allow", h, p, h + p, len(h + p)) for v, h, p in rules], allow="boolean", r_host="string", r_path="string", rule="string", length="int")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     places = sites.where("host <> ''").select("host", "path").distinct()
