@@ -4,7 +4,7 @@ Words are cut at white space, freed of ASCII punctuation and lower-cased; number
 do not begin a sentence or line) and units become typed placeholders. Windows of ``window`` such tokens of a
 document are looked up in a hash table of the benchmark's windows; the hits of a document and an item that lie
 on one diagonal are kept if their slots agree: each slot value of the item stands for one value in the document,
-and different ones for different ones. So a question whose numbers, names or units were replaced throughout is
+and different ones for different ones, the commonest pairs deciding. So a question whose numbers, names or units were replaced throughout is
 caught, and a window that happens to have the same skeleton is not. A document holds an item if the consistent
 hits cover at least ``min_share`` of the item's windows.
 
@@ -20,6 +20,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -181,7 +182,9 @@ def matches(book: Book, texts, min_share: float) -> list[tuple[int, int, int, in
         same = mine == theirs
         good = starts
         if not same.all() and not _consistent(mine, theirs, kind):
-            good = [s for s in starts if _window_consistent(book, value, s, int(size), shift)]
+            agrees = np.ones(len(book.token) + 1, bool)
+            agrees[slot] = _agreeing(mine, theirs, kind)
+            good = starts[[agrees[x : x + size].all() for x in starts]]
             if not len(good):
                 continue
         seen = out.setdefault((int(doc), int(item)), [set(), True])
@@ -190,10 +193,18 @@ def matches(book: Book, texts, min_share: float) -> list[tuple[int, int, int, in
     return [(doc, item, len(s), int(book.counts[item]), exact) for (doc, item), (s, exact) in out.items() if len(s) >= min_share * book.counts[item]]
 
 
-def _window_consistent(book: Book, value: np.ndarray, s: int, size: int, shift: int) -> bool:
-    places = np.arange(s, s + size)
-    slot = places[_is_slot(book.token[places])]
-    return _consistent(book.value[slot], value[slot + shift], book.token[slot])
+def _agreeing(mine: np.ndarray, theirs: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Which slots agree with a one-to-one reading: commonest pairs first, of equally common ones the earliest."""
+    pairs = list(zip(kind.tolist(), mine.tolist(), theirs.tolist(), strict=True))
+    count = Counter(pairs)
+    there: dict[tuple[int, int], int] = {}
+    back: dict[tuple[int, int], int] = {}
+    taken = set()
+    for k, a, b in sorted(count, key=lambda x: (-count[x], pairs.index(x))):
+        if (k, a) not in there and (k, b) not in back:
+            there[k, a], back[k, b] = b, a
+            taken.add((k, a, b))
+    return np.array([x in taken for x in pairs])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, window: int = 8, min_literal: int = 5, min_share: float = 0.3, id_col: str = "doc_id") -> DataFrame:

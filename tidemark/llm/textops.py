@@ -15,6 +15,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: The same, and a space for each ASCII character that is no letter or digit.
+PLAIN = np.where([i < 128 and not chr(i).isalnum() for i in range(256)], 32, LOWER).astype(np.uint8)
 #: A fixed odd base and its inverse modulo 2**64, and a random word for each byte.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -69,11 +71,10 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(start, at)
 
 
-def word_hashes(texts: Iterable[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and where each text's words start among them."""
+def word_hashes(texts: Iterable[str | None], table: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and where each text's words start among them; bytes are read through ``table``."""
     data, at = pack(texts)
-    if lower:
-        data = LOWER[data]
+    data = table[data]
     start, end, first = words(data, at)
     return span_hashes(prefix_hashes(data), start, end), first
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
-from .textops import slices, word_hashes
+from .textops import PLAIN, slices, word_hashes
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ class Model:
     known: bool
 
     def score(self, texts) -> np.ndarray:
-        h, first = word_hashes(texts)
+        h, first = word_hashes(texts, PLAIN)
         n = len(first) - 1
         if not self.known or not len(self.words):
             return np.full(n, 0.0 if not self.known else 1 / (1 + np.exp(-self.bias)))
@@ -48,8 +48,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_nnpu(p_docs: list[np.ndarray], u_docs: list[np.ndarray], prior: float, features: int = 2048, steps: int = 300, rate: float = 0.1, l2: float = 1e-4) -> Model:
-    """``p_docs`` and ``u_docs``: each text's distinct word hashes."""
+def fit_nnpu(p_docs: list[np.ndarray], u_docs: list[np.ndarray], prior: float, features: int = 2048, least_z: float = 5.0, steps: int = 300, rate: float = 0.1, l2: float = 1e-4) -> Model:
+    """``p_docs`` and ``u_docs``: each text's distinct word hashes.
+
+    Features are the words whose shares of texts in P and U differ by ``least_z`` standard errors, at most
+    ``features`` and at least 16 of them.
+    """
     docs, n_p = [*p_docs, *u_docs], len(p_docs)
     if not n_p or not u_docs:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, False)
@@ -60,7 +64,8 @@ def fit_nnpu(p_docs: list[np.ndarray], u_docs: list[np.ndarray], prior: float, f
     a, b = in_p / n_p, in_u / len(u_docs)
     pooled = np.clip((in_p + in_u + 1) / (len(docs) + 2), 1e-9, 1 - 1e-9)
     z = np.abs(a - b) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / len(u_docs)))
-    best = np.sort(np.argsort(-z, kind="stable")[: min(features, len(vocabulary))])
+    order = np.argsort(-z, kind="stable")[: min(features, len(vocabulary))]
+    best = np.sort(order[: max(16, int((z[order] >= least_z).sum()))])
     keep = np.isin(col, best)
     row, col, k = row[keep], np.searchsorted(best, col[keep]), len(best)
     w, bias = np.zeros(k), float(np.log(prior / (1 - prior)))
@@ -96,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, positives: in
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in slices(batch):
-                h, first = word_hashes(part["text"])
+                h, first = word_hashes(part["text"], PLAIN)
                 yield pd.DataFrame({"h": [np.unique(h[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], "u": part["u"].to_numpy(), "p": part["p"].to_numpy()})
 
     got = sorted((bytes(r["h"]), r["u"], r["p"]) for r in sample.mapInPandas(distinct, "h binary, u boolean, p boolean").toLocalIterator())  # the same sums whatever the order of rows
