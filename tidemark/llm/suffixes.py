@@ -44,7 +44,7 @@ from .katz import NULL, _bucket
 from .textops import mix, pack, prefix_hashes, slices, span_hashes
 
 LENGTH, GRAM = 50, 24
-CHUNK_CHARS, BUCKET_CHARS = 2_000_000, 12_000_000
+CHUNK_CHARS, BUCKET_CHARS = 2_000_000, 16_000_000
 _SENT = "part int, src long, data binary"
 _TOLD = "part int, src long, data binary, n long"
 

@@ -6,11 +6,17 @@ bytes there is the same as cutting the text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 
+try:  # glibc: arrays of a megabyte and more go back to the system when freed, as Python workers outlive tasks
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+except (OSError, AttributeError):
+    pass
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -47,8 +53,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """P with P[e] - P[s] = base**s times the hash of data[s:e]."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power(len(data))[0], out=out[1:])
-    return out
+    out[1:] = _BYTE[data]
+    out[1:] *= _power(len(data))[0]
+    return np.cumsum(out, out=out)
 
 
 def span_hashes(prefix: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
