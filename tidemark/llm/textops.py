@@ -6,17 +6,11 @@ bytes there is the same as cutting the text.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 
-try:  # glibc: arrays of a megabyte and more go back to the system when freed, as Python workers outlive tasks
-    ctypes.CDLL(None).mallopt(-3, 1 << 20)
-except (OSError, AttributeError):
-    pass
-
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
