@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,9 @@ from .common import Scratch, shuffle_width, table
 from .katz import NULL, _bucket
 from .textops import mix, pack, prefix_hashes, slices, span_hashes
 
+# messages go back to the system when freed: Python workers outlive tasks, and Arrow's own pool keeps its memory
+pa.set_memory_pool(pa.system_memory_pool())
+
 LENGTH, GRAM = 50, 24
 CHUNK_CHARS, BUCKET_CHARS = 2_000_000, 12_000_000
 _SENT = "part int, src long, data binary"
