@@ -109,7 +109,8 @@ class _Chunk:
         self.data, self.at, self.keys = x["data"], x["at"], x["keys"]
         self.place = np.cumsum(x["step"], dtype=np.int64)
         self.prefix = prefix_hashes(self.data)
-        self.hash = span_hashes(self.prefix, self.place, self.place + GRAM)
+        # anchors have small hashes, so they are hashed again to fall evenly into buckets
+        self.hash = mix(span_hashes(self.prefix, self.place, self.place + GRAM))
         self.doc = np.searchsorted(self.at, self.place, side="right") - 1  # of each anchor
 
     def around(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
