@@ -85,7 +85,8 @@ def _anchors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     if n < wide:
         return np.zeros(0, np.int64)
     prefix = prefix_hashes(data)
-    h = span_hashes(prefix, slice(0, n), slice(GRAM, n + GRAM))
+    # never 0, which marks windows that leave their text
+    h = (span_hashes(prefix, slice(0, n), slice(GRAM, n + GRAM)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     least, size = h, 1
     while 2 * size <= wide:
         least, size = np.minimum(least[:-size], least[size:]), 2 * size
@@ -93,7 +94,7 @@ def _anchors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):  # a string ends before its text's line feed
         least[max(a, z - LENGTH) : z] = 0
     # a hash is the least of a window that holds it if the greatest of those windows' least ones is no less
-    most = np.concatenate([np.zeros(wide - 1, np.uint64), least, np.zeros(n - len(least), np.uint64)])
+    most = np.concatenate([np.zeros(wide - 1, np.uint32), least, np.zeros(n - len(least), np.uint32)])
     size = 1
     while 2 * size <= wide:
         most, size = np.maximum(most[:-size], most[size:]), 2 * size
@@ -202,13 +203,13 @@ def _parts(c: _Chunk, place: np.ndarray, around: np.ndarray) -> list[np.ndarray]
     return out
 
 
-def _groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The order of pairs, the number of each pair's group, and the number of groups."""
+def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of each pair, equal ones alike."""
     order = np.lexsort((b, a))
     of = np.empty(len(order), np.int64)
     new = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
     of[order] = np.concatenate(([0], np.cumsum(new))) if len(order) else order
-    return order, of, int(of.max()) + 1 if len(of) else 0
+    return of
 
 
 def _surroundings(chunks: DataFrame, again: DataFrame, buckets: int) -> DataFrame:
@@ -226,13 +227,14 @@ def _surroundings(chunks: DataFrame, again: DataFrame, buckets: int) -> DataFram
         parts = [_load(d) for d in pdf["data"]]
         g = np.concatenate([np.cumsum(p["step"], dtype=np.uint64) for p in parts])
         s, key = np.concatenate([p["around"] for p in parts]), np.concatenate([p["least"] for p in parts])
-        _, same, _ = _groups(g, s)
+        same = _same(g, s)
         least = np.full(len(same), np.iinfo(np.int64).max)
         np.minimum.at(least, same, key)
         mixed = np.zeros(len(g), bool)
+        gram = np.unique(g, return_inverse=True)[1].astype(np.uint64) << np.uint64(32)
         for k in ("p0", "p1", "p2"):
-            _, of, n = _groups(g, np.concatenate([p[k] for p in parts]))
-            low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+            pairs, of = np.unique(gram | np.concatenate([p[k] for p in parts]), return_inverse=True)
+            low, high = np.full(len(pairs), np.iinfo(np.int64).max), np.full(len(pairs), -1)
             np.minimum.at(low, of, same)
             np.maximum.at(high, of, same)
             mixed |= (low < high)[of]
