@@ -170,6 +170,45 @@ def test_simhash_odd(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 8]
 
 
+def near_pairs(spark, texts):
+    from itertools import combinations
+
+    def shingles(t):
+        w = WORD.findall(lower(t))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in combinations(range(len(texts)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    return {find(i) for i in range(len(texts))}
+
+
+def kept_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in simhash.near_duplicate_stage(spark, df, SF).collect()}
+
+
+def test_near_duplicate_stage_misses_no_pair(spark, ship):
+    r = np.random.default_rng(11)
+    texts = []
+    for k in range(150):  # pairs about Jaccard 0.8: edits far apart kill five shingles each
+        w = [f"w{x}" for x in r.integers(0, 10**6, 300)]
+        v = list(w)
+        for p in range(6): v[20 + 45 * p] = "edit"  # noqa: E701
+        if k % 3 == 0: v[295] = "edit"  # noqa: E701
+        texts += [" ".join(w), " ".join(v)]
+    texts += [" ".join(["common words in a row here"] * 3 + [f"x{k % 4}{j}" for j in range(40)] + [f"y{k}"]) for k in range(40)]
+    assert kept_of(spark, texts) == near_pairs(spark, texts)
+
+
 # ---- op 3 ----
 
 

@@ -1,0 +1,143 @@
+"""Exact groups of near duplicates: all pairs of texts whose sets of word shingles have a Jaccard similarity of at least 4/5.
+
+A set of n shingles, all sets in one global order, shares with each partner of that similarity one of its first
+n - ceil(4n/5) + 1 shingles; these are its keys, so no such pair is missed. Pairs that share a key are dropped only
+where sizes and places of the key rule the similarity out, and a pair becomes a link only after its whole sets
+were compared. Shingles are told apart by 64-bit hashes; a repeated shingle counts once.
+
+The order puts shingles that are common in a sample of texts last, commonest at the very end. It decides how many
+pairs are compared and not which are found. Equal sets are one node. Pairs of neighbours within a key are compared
+first; then, for keys that still join different components, all pairs across components.
+
+Defined results: a null text counts as empty; texts without words have equal sets; a text shorter than a shingle is
+one shingle; repeated rows give repeated result rows; a null id takes part and gets the smallest id reachable, null
+if there is none; an empty table gives an empty result; other columns are not read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .common import Scratch
+from .components import connected_components
+from .textops import mix, slices, word_hashes
+
+#: Jaccard similarity of a link, as a fraction.
+TOP, BOTTOM = 4, 5
+#: Texts in the sample that orders shingles, and the most common shingles told apart by it.
+SAMPLE, MOST_COMMON = 20_000, 500_000
+#: Which neighbours within a key are compared before all pairs are.
+BESIDE = (1, 2, 4, 8)
+
+
+def shingle_sets(texts, shingle: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles of lower-cased words."""
+    h, first = word_hashes(texts)
+    odd = [np.uint64(pow(0xC2B2AE3D27D4EB4F, j, 1 << 64)) for j in range(shingle)]
+    out = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        w = h[a:b]
+        g = np.zeros(max(1, len(w) - shingle + 1) if len(w) else 0, np.uint64)
+        for j in range(min(shingle, len(w))):
+            g += w[j : j + len(g)] * odd[j]
+        out.append(np.unique(mix(g)))
+    return out
+
+
+def _node(s: np.ndarray) -> int:
+    """A name for a set."""
+    return int(mix(s + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64))
+
+
+def keys(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles of a set by which it meets its partners, in the global order; ``common`` is sorted."""
+    r = np.zeros(len(s), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        r = np.where(common[at] == s, rank[at], 0)
+    return s[np.lexsort((s, r))[: len(s) - -(-TOP * len(s) // BOTTOM) + 1]] if len(s) else s
+
+
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than one sampled text, sorted, and their ranks, commoner ones higher."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                yield pd.DataFrame({"h": np.concatenate(shingle_sets(part["t"], shingle)).view(np.int64)})
+
+    every = max(1, texts.count() // SAMPLE)
+    seen = texts.where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).select("t").mapInPandas(of, "h long").groupBy("h").count().where("count > 1")
+    top = seen.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toArrow()
+    h, count = top["h"].to_numpy().view(np.uint64), top["count"].to_numpy()
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, count))] = np.arange(1, len(h) + 1)
+    order = np.argsort(h)
+    return h[order], rank[order]
+
+
+def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
+    """Whether sets of n and m shingles whose first common one is at these places can be similar enough."""
+    sizes = (F.least(n, m) * BOTTOM) >= (F.greatest(n, m) * TOP)
+    return sizes & (F.least(n - pos, m - at) * (TOP + BOTTOM) >= (n + m) * TOP)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs of nodes whose sets are similar enough."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}"))
+    met = pairs.select("u", "v").distinct().join(side("u"), "u").join(side("v"), "v")
+    both = F.size(F.array_intersect("su", "sv"))
+    return met.where(both * (TOP + BOTTOM) >= (F.size("su") + F.size("sv")) * TOP).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, spark: SparkSession, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group_id): one row for each document; group_id is the smallest id reachable by links."""
+    scratch = Scratch(spark)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    sent = spark.sparkContext.broadcast(_common(texts, shingle))
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                sets = shingle_sets(part["t"], shingle)
+                yield pd.DataFrame({"id": part["id"].astype("Int64").array, "node": [_node(s) for s in sets], "n": [len(s) for s in sets], "keys": [keys(s, *sent.value).view(np.int64) for s in sets]})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                sets = shingle_sets(part["t"], shingle)
+                yield pd.DataFrame({"node": [_node(s) for s in sets], "s": [s.view(np.int64) for s in sets]})
+
+    marked = scratch.put(texts.mapInPandas(mark, "id long, node long, n long, keys array<long>"), "marked")
+    nodes = scratch.put(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    at_key = Window.partitionBy("key")
+    keyed = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    shared = scratch.put(keyed.withColumn("many", F.count("*").over(at_key)).where("many > 1").drop("many"), "shared")
+    meeting = shared.select("node").distinct()
+    holders = scratch.put(nodes.join(meeting, "node", "left_semi").select(F.col("least").alias("id")).distinct(), "holders")
+    held = texts.join(holders.withColumnRenamed("id", "holder"), F.col("id").eqNullSafe(F.col("holder")), "left_semi")
+    sets = scratch.put(held.mapInPandas(whole, "node long, s array<long>").join(meeting, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+    before = lambda c, k: F.lag(c, k).over(at_key.orderBy("n", "node"))
+    rows = shared.withColumns({f"b{k}": F.struct(before("node", k).alias("node2"), before("n", k).alias("n2"), before("pos", k).alias("pos2")) for k in BESIDE})
+    beside = rows.select("node", "n", "pos", F.inline(F.array(*(f"b{k}" for k in BESIDE))))
+    chained = beside.where(_may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
+    first = scratch.put(_verified(chained.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")), sets), "first")
+    roots = connected_components(first, scratch, "a").distinct()
+
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.withColumn("low", F.min("root").over(at_key)).withColumn("high", F.max("root").over(at_key)).where("low < high")
+    open_ = scratch.put(apart.select("key", "node", "n", "pos", "root"), "open")
+    a, b = open_.alias("a"), open_.alias("b")
+    across = a.join(b, "key").where("a.node < b.node and a.root <> b.root").where(_may_link(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos")))
+    second = scratch.put(_verified(across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), sets), "second")
+    roots = connected_components(first.unionByName(second), scratch, "b").distinct()
+
+    found = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = scratch.put(found.join(found.groupBy("root").agg(F.min("least").alias("group_id")), "root").select("node", "group_id"), "named")
+    return marked.select("id", "node").join(named, "node").drop("node")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 from .components import connected_components
+from .shinglejoin import similar_groups
 from .textops import mix, slices, word_hashes
 
 #: Keys that more fingerprints share are compared in tiles of pairs of such chunks.
@@ -227,11 +228,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates the document with the smallest id stays.
 
-    Five-word shingles and 512-bit fingerprints. A pair of Jaccard similarity 0.8 has the cosine 0.89 and so
-    differs in 15.1 % of bits; a link takes at most 16.5 % (84 bits). Each of 32 blocks of 16 bits is a key.
-    Rows that repeat an id are one document; rows without an id stay.
+    Links are all pairs whose sets of five-word shingles have a Jaccard similarity of at least 0.8, found and
+    verified exactly. Rows that repeat an id are one document; rows without an id stay.
     """
-    groups = near_duplicate_groups(docs, spark, shingle=5, width=8, blocks=32, choose=1, distance=84)
+    groups = similar_groups(docs, spark, shingle=5)
     scratch = Scratch(spark)  # written, so that its size decides how it is joined
     groups = scratch.put(groups.select("id", "group_id"), "groups")
     gone = scratch.put(groups.where("id <> group_id").select(F.col("id").alias("doc_id")).distinct(), "gone")
