@@ -209,6 +209,18 @@ def test_near_duplicate_stage_misses_no_pair(spark, ship):
     assert kept_of(spark, texts) == near_pairs(spark, texts)
 
 
+def test_near_duplicate_stage_keeps_what_is_not_near(spark, ship):
+    r = np.random.default_rng(12)
+    line = " ".join(f"line{j}" for j in range(14)) + " "
+    texts = [line * 10 + " ".join(f"w{x}" for x in r.integers(0, 10**6, 50)) for _ in range(20)]  # one line repeated
+    for _ in range(60):  # Jaccard 0.7 to 0.78
+        w = [f"w{x}" for x in r.integers(0, 10**6, 300)]
+        v = list(w)
+        for p in range(r.integers(8, 11)): v[20 + 28 * p] = "edit"  # noqa: E701
+        texts += [" ".join(w), " ".join(v)]
+    assert kept_of(spark, texts) == near_pairs(spark, texts) == set(range(len(texts)))
+
+
 # ---- op 3 ----
 
 

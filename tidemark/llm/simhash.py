@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .components import connected_components
 from .shinglejoin import similar_groups
-from .textops import mix, slices, word_hashes
+from .textops import slices
 
 #: Keys that more fingerprints share are compared in tiles of pairs of such chunks.
 CHUNK = 1024
@@ -62,37 +62,16 @@ def exact_shingle_fingerprint(text: str | None, shingle: int = 4, seed: int = 42
     return _majority(hashes)
 
 
-def wide_fingerprints(texts, shingle: int, width: int) -> np.ndarray:
-    """A row of ``width`` words for each text, over hashed shingles of lower-cased words."""
-    h, first = word_hashes(texts)
-    out = np.zeros((len(first) - 1, width), np.uint64)
-    odd = [np.uint64(pow(0xC2B2AE3D27D4EB4F, j, 1 << 64)) for j in range(shingle)]
-    for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-        if b > a:
-            w = h[a:b]
-            n = max(1, len(w) - shingle + 1)
-            g = np.zeros(n, np.uint64)
-            for j in range(min(shingle, len(w))):
-                g += w[j : j + n] * odd[j]
-            for k in range(width):
-                out[i, k] = _majority(mix(g + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))))
-    return out
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, width: int = 1) -> DataFrame:
-    """(id, f0, ...): width 1 is the exact XXH64 fingerprint; more words are for lower similarities."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """(id, f0)"""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in slices(batch, "t"):
-                if width == 1:
-                    f = np.array([exact_shingle_fingerprint(t, shingle) for t in part["t"]], np.uint64).reshape(-1, 1)
-                else:
-                    f = wide_fingerprints(part["t"], shingle, width)
-                yield pd.DataFrame({"id": part["id"].astype("Int64"), **{f"f{k}": f[:, k].view(np.int64) for k in range(width)}})
+                f = np.array([exact_shingle_fingerprint(t, shingle) for t in part["t"]], np.uint64)
+                yield pd.DataFrame({"id": part["id"].astype("Int64"), "f0": f.view(np.int64)})
 
-    schema = "id long, " + ", ".join(f"f{k} long" for k in range(width))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInPandas(of, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInPandas(of, "id long, f0 long")
 
 
 def _keys(width: int, blocks: int, choose: int) -> Column:
@@ -205,15 +184,14 @@ def links(nodes: DataFrame, width: int, blocks: int, choose: int, distance: int,
 
 
 def near_duplicate_groups(
-    docs: DataFrame, spark: SparkSession, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, width: int = 1, blocks: int = 6, choose: int = 2, distance: int = 4
+    docs: DataFrame, spark: SparkSession, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, blocks: int = 6, choose: int = 2, distance: int = 4
 ) -> DataFrame:
-    """(id, f0, ..., group_id): one row for each document; group_id is the smallest id reachable."""
+    """(id, f0, group_id): one row for each document; group_id is the smallest id reachable."""
     scratch = Scratch(spark)
-    cols = [f"f{k}" for k in range(width)]
-    marked = scratch.put(fingerprints(docs, id_col, text_col, shingle, width), "fingerprints")
-    node = F.col("f0") if width == 1 else F.xxhash64(*cols)
-    nodes = scratch.put(marked.groupBy(*cols).agg(F.min("id").alias("least")).withColumn("node", node), "nodes")
-    roots = connected_components(scratch.put(links(nodes.drop("least"), width, blocks, choose, distance, scratch), "links"), scratch)
+    marked = scratch.put(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    node = F.col("f0")
+    nodes = scratch.put(marked.groupBy("f0").agg(F.min("id").alias("least")).withColumn("node", node), "nodes")
+    roots = connected_components(scratch.put(links(nodes.drop("least"), 1, blocks, choose, distance, scratch), "links"), scratch)
     rooted = nodes.join(roots.distinct(), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("group_id"))
     named = scratch.put(rooted.join(least, "root").select("node", "group_id"), "named")
