@@ -390,6 +390,19 @@ def test_templates_find_whole_items(spark, local):
     assert want <= got
 
 
+def found_by(spark, items, texts):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.id, r.item_id) for r in templates.contaminated(df, bench, spark).collect()}
+
+
+def test_templates_with_few_literals(spark, ship):
+    items = [(1, "What is 17 times 24?"), (2, "5 km 7 m 3 cm 12 kg 8 g 4 l 6 ml plus 9 lb"), (3, "Dann fragte Anna den Peter nach Berlin und Maria zeigte Karl 12 Karten von Hamburg")]
+    texts = [f"Some words. {x} More words." for _, x in items] + ["Some words. What is 18 times 25? More", "so he said, What is 17 times 24? to me", "1 km 2 m 3 cm 4 kg 5 g 6 l 7 ml plus 8 lb"]
+    texts += ["Dann fragte Eva den Hans nach Bremen und Clara zeigte Otto 15 Karten von Kassel"]
+    assert found_by(spark, items, texts) == {(0, 1), (1, 2), (2, 3), (4, 1), (6, 3)}
+
+
 def test_template_slices(spark, ship, docs, monkeypatch):
     bench = table(spark, SF, "benchmark")
     whole = sorted(map(tuple, templates.contaminated(docs, bench, spark).collect()))

@@ -6,15 +6,15 @@ document are looked up in a hash table of the benchmark's windows; the hits of a
 on one diagonal are kept if their slots agree: each slot value of the item stands for one value in the document,
 and different ones for different ones, the commonest pairs deciding. So a question whose numbers, names or units were replaced throughout is
 caught, and a window that happens to have the same skeleton is not. A document holds an item if the consistent
-hits cover at least ``min_share`` of the item's windows.
+hits cover at least ``min_share`` of the item's windows, of all or of those looked up by placeholders.
 
 The table of windows is sent to the tasks in slices of at most ``MOST_WINDOWS``, which is its bound; a larger
 benchmark takes more passes over the documents. Documents are not shuffled and each is judged where it is read,
 so hot passages and groups of copies make no large task.
 
 Defined results: null or empty texts and items match nothing; items shorter than a window are one window;
-windows with fewer than ``min_literal`` words that are no placeholders are not used (for shorter items: all
-words); repeated rows give repeated result rows; a null id is returned as null; empty tables give an empty
+a stretch of hits with fewer than ``min_literal`` words that are no placeholders counts only where its slots have
+the item's own values, and windows with fewer than ``min_literal - 2`` are looked up by values; repeated rows give repeated result rows; a null id is returned as null; empty tables give an empty
 result; other columns are not read.
 """
 
@@ -122,8 +122,11 @@ class Book:
     token: np.ndarray
     value: np.ndarray
     first: np.ndarray
-    sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # size: sorted hashes, item and start of each
+    sizes: list[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray]]  # size, whether by values; sorted hashes, item and start of each
     counts: np.ndarray  # windows of each item
+    typed: np.ndarray  # and those looked up by placeholders
+    is_typed: np.ndarray  # whether the window that starts at a token is one
+    min_literal: int
 
 
 def make_book(ids: list[int], texts: list[str | None], window: int, min_literal: int) -> Book:
@@ -131,16 +134,23 @@ def make_book(ids: list[int], texts: list[str | None], window: int, min_literal:
     length = np.diff(first)
     literal = np.concatenate(([0], np.cumsum(~_is_slot(token))))
     item_of = np.repeat(np.arange(len(ids)), length)
-    sizes, counts = {}, np.zeros(len(ids), np.int64)
+    sizes, counts, typed, is_typed = [], np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros(len(token), bool)
     for size in sorted({min(window, int(n)) for n in length if n}):
-        h, start = _windows(token, first, size)
-        fits = np.minimum(length[item_of[start]], window) == size
-        fits &= literal[start + size] - literal[start] >= (min_literal if size == window else size)
-        h, start = h[fits], start[fits]
-        order = np.argsort(h, kind="stable")
-        sizes[size] = (h[order], item_of[start[order]], start[order])
-        counts += np.bincount(item_of[start], minlength=len(ids))
-    return Book(np.array(ids, np.int64), token, value, first, sizes, counts)
+        for by_value in (False, True):
+            h, start = _windows(value if by_value else token, first, size)
+            fits = np.minimum(length[item_of[start]], window) == size
+            enough = literal[start + size] - literal[start] >= min_literal - 2
+            if by_value:  # few windows may all begin with a word that is a name in one text and not in the other
+                fits &= ~enough | (length[item_of[start]] <= 2 * window)
+            else:
+                counts += np.bincount(item_of[start[fits]], minlength=len(ids))
+                fits &= enough
+                typed += np.bincount(item_of[start[fits]], minlength=len(ids))
+                is_typed[start[fits]] = True
+            h, start = h[fits], start[fits]
+            order = np.argsort(h, kind="stable")
+            sizes.append((size, by_value, h[order], item_of[start[order]], start[order]))
+    return Book(np.array(ids, np.int64), token, value, first, sizes, counts, typed, is_typed, min_literal)
 
 
 def _consistent(mine: np.ndarray, theirs: np.ndarray, kind: np.ndarray) -> bool:
@@ -154,9 +164,11 @@ def matches(book: Book, texts, min_share: float) -> list[tuple[int, int, int, in
     token, value, first = tokens(texts)
     text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     found = []
-    for size, (hashes, item, at) in book.sizes.items():
-        h, start = _windows(token, first, size)
-        if not len(h) or not len(hashes):
+    for size, by_value, hashes, item, at in book.sizes:
+        if not len(hashes):
+            continue
+        h, start = _windows(value if by_value else token, first, size)
+        if not len(h):
             continue
         low = np.searchsorted(hashes, h)
         hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h)
@@ -175,7 +187,7 @@ def matches(book: Book, texts, min_share: float) -> list[tuple[int, int, int, in
         if z <= a:
             continue
         doc, item, shift = rows[a, :3]
-        starts, size = rows[a:z, 3], rows[a, 4]
+        starts, size = np.unique(rows[a:z, 3]), rows[a, 4]
         places = np.unique(starts[:, None] + np.arange(size))
         slot = places[_is_slot(book.token[places])]
         mine, theirs, kind = book.value[slot], value[slot + shift], book.token[slot]
@@ -185,12 +197,29 @@ def matches(book: Book, texts, min_share: float) -> list[tuple[int, int, int, in
             agrees = np.ones(len(book.token) + 1, bool)
             agrees[slot] = _agreeing(mine, theirs, kind)
             good = starts[[agrees[x : x + size].all() for x in starts]]
-            if not len(good):
-                continue
+        good = _with_evidence(book, good, int(size), slot[~same])
+        if not len(good):
+            continue
         seen = out.setdefault((int(doc), int(item)), [set(), True])
         seen[0].update(int(s) for s in good)
         seen[1] &= bool(same.all())
-    return [(doc, item, len(s), int(book.counts[item]), exact) for (doc, item), (s, exact) in out.items() if len(s) >= min_share * book.counts[item]]
+    return [(doc, item, len(s), int(book.counts[item]), exact) for (doc, item), (s, exact) in out.items() if _holds(book, item, s, min_share)]
+
+
+def _with_evidence(book: Book, starts: np.ndarray, size: int, changed: np.ndarray) -> np.ndarray:
+    """Windows in stretches with enough literals, and of others those without a changed slot."""
+    kept = []
+    for stretch in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+        if len(stretch) and (~_is_slot(book.token[stretch[0] : stretch[-1] + size])).sum() < book.min_literal:
+            stretch = stretch[np.searchsorted(changed, stretch) == np.searchsorted(changed, stretch + size)]
+        kept.append(stretch)
+    return np.concatenate(kept)
+
+
+def _holds(book: Book, item: int, starts: set[int], min_share: float) -> bool:
+    """Whether these windows are a large enough part of the item."""
+    typed = sum(bool(book.is_typed[x]) for x in starts)
+    return len(starts) >= min_share * book.counts[item] or (typed > 0 and typed >= min_share * book.typed[item])
 
 
 def _agreeing(mine: np.ndarray, theirs: np.ndarray, kind: np.ndarray) -> np.ndarray:
