@@ -403,6 +403,11 @@ def test_templates_with_few_literals(spark, ship):
     assert found_by(spark, items, texts) == {(0, 1), (1, 2), (2, 3), (4, 1), (6, 3)}
 
 
+def test_templates_parts_of_long_items(spark, ship):
+    w = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
+    assert found_by(spark, [(1, " ".join(w))], ["before it " + " ".join(w[200:300]) + " after it", " ".join(w[200:212]), " ".join(w[480:])]) == {(0, 1), (2, 1)}
+
+
 def test_template_slices(spark, ship, docs, monkeypatch):
     bench = table(spark, SF, "benchmark")
     whole = sorted(map(tuple, templates.contaminated(docs, bench, spark).collect()))

@@ -6,7 +6,8 @@ document are looked up in a hash table of the benchmark's windows; the hits of a
 on one diagonal are kept if their slots agree: each slot value of the item stands for one value in the document,
 and different ones for different ones, the commonest pairs deciding. So a question whose numbers, names or units were replaced throughout is
 caught, and a window that happens to have the same skeleton is not. A document holds an item if the consistent
-hits cover at least ``min_share`` of the item's windows, of all or of those looked up by placeholders.
+hits cover at least ``min_share`` of the item's windows, of all or of those looked up by placeholders, or
+if ``MIN_RUN`` words of it in a row are covered, whatever its length.
 
 The table of windows is sent to the tasks in slices of at most ``MOST_WINDOWS``, which is its bound; a larger
 benchmark takes more passes over the documents. Documents are not shuffled and each is judged where it is read,
@@ -33,6 +34,8 @@ from .common import Scratch, table
 from .textops import LOWER, mix, pack, prefix_hashes, slices, span_hashes, words
 
 MOST_WINDOWS = 1_000_000
+#: Words of an item in a row that are enough, whatever their share of it.
+MIN_RUN = 20
 UNITS = (
     "mm cm m km inch inches ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds ounce ounces ton tons "
     "ml l litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
@@ -200,10 +203,12 @@ def matches(book: Book, texts, min_share: float) -> list[tuple[int, int, int, in
         good = _with_evidence(book, good, int(size), slot[~same])
         if not len(good):
             continue
-        seen = out.setdefault((int(doc), int(item)), [set(), True])
+        seen = out.setdefault((int(doc), int(item)), [set(), True, False])
+        runs = np.split(good, np.flatnonzero(np.diff(good) > 1) + 1)
+        seen[2] |= max(int(x[-1] - x[0]) for x in runs) + int(size) >= MIN_RUN
         seen[0].update(int(s) for s in good)
         seen[1] &= bool(same.all())
-    return [(doc, item, len(s), int(book.counts[item]), exact) for (doc, item), (s, exact) in out.items() if _holds(book, item, s, min_share)]
+    return [(doc, item, len(s), int(book.counts[item]), exact) for (doc, item), (s, exact, long) in out.items() if long or _holds(book, item, s, min_share)]
 
 
 def _with_evidence(book: Book, starts: np.ndarray, size: int, changed: np.ndarray) -> np.ndarray:
