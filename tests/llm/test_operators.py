@@ -408,6 +408,11 @@ def test_templates_parts_of_long_items(spark, ship):
     assert found_by(spark, [(1, " ".join(w))], ["before it " + " ".join(w[200:300]) + " after it", " ".join(w[200:212]), " ".join(w[480:])]) == {(0, 1), (2, 1)}
 
 
+def test_templates_without_item_id(spark, ship):
+    item = "when the old market opens then many people buy red apples and some green pears"
+    assert found_by(spark, [(None, item), (None, "another question that nobody has ever asked in this place"), (3, item)], ["no", item]) == {(1, None), (1, 3)}
+
+
 def test_template_slices(spark, ship, docs, monkeypatch):
     bench = table(spark, SF, "benchmark")
     whole = sorted(map(tuple, templates.contaminated(docs, bench, spark).collect()))

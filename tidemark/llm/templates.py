@@ -15,7 +15,7 @@ so hot passages and groups of copies make no large task.
 
 Defined results: null or empty texts and items match nothing; items shorter than a window are one window;
 a stretch of hits with fewer than ``min_literal`` words that are no placeholders counts only where its slots have
-the item's own values, and windows with fewer than ``min_literal - 2`` are looked up by values; repeated rows give repeated result rows; a null id is returned as null; empty tables give an empty
+the item's own values, and windows with fewer than ``min_literal - 2`` are looked up by values; repeated rows give repeated result rows; a null id of a document or item is returned as null; empty tables give an empty
 result; other columns are not read.
 """
 
@@ -121,7 +121,7 @@ def _windows(token: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
 class Book:
     """The windows of some benchmark items, by window size."""
 
-    ids: np.ndarray
+    ids: pd.arrays.IntegerArray
     token: np.ndarray
     value: np.ndarray
     first: np.ndarray
@@ -132,7 +132,7 @@ class Book:
     min_literal: int
 
 
-def make_book(ids: list[int], texts: list[str | None], window: int, min_literal: int) -> Book:
+def make_book(ids: list[int | None], texts: list[str | None], window: int, min_literal: int) -> Book:
     token, value, first = tokens(texts)
     length = np.diff(first)
     literal = np.concatenate(([0], np.cumsum(~_is_slot(token))))
@@ -153,7 +153,7 @@ def make_book(ids: list[int], texts: list[str | None], window: int, min_literal:
             h, start = h[fits], start[fits]
             order = np.argsort(h, kind="stable")
             sizes.append((size, by_value, h[order], item_of[start[order]], start[order]))
-    return Book(np.array(ids, np.int64), token, value, first, sizes, counts, typed, is_typed, min_literal)
+    return Book(pd.array(ids, dtype="Int64"), token, value, first, sizes, counts, typed, is_typed, min_literal)
 
 
 def _consistent(mine: np.ndarray, theirs: np.ndarray, kind: np.ndarray) -> bool:
@@ -243,14 +243,14 @@ def _agreeing(mine: np.ndarray, theirs: np.ndarray, kind: np.ndarray) -> np.ndar
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, window: int = 8, min_literal: int = 5, min_share: float = 0.3, id_col: str = "doc_id") -> DataFrame:
     """(id, item_id, hits, windows, exact): one row for each document and item that it holds."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and length(text) > 0")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
     words_in = F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+"))
     total = items.agg(F.sum(words_in)).first()[0] or 0
     passes = max(1, -(-total // MOST_WINDOWS))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     out = None
     for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", F.lit(5)), F.lit(passes)) == k).orderBy("item_id", "text").collect()
+        part = items.where(F.pmod(F.xxhash64("item_id", "text", F.lit(5)), F.lit(passes)) == k).orderBy("item_id", "text").collect()
         sent = spark.sparkContext.broadcast(make_book([r[0] for r in part], [r[1] for r in part], window, min_literal))
 
         def find(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
