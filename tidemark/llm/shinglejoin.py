@@ -90,7 +90,7 @@ def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs of nodes whose sets are similar enough."""
     side = lambda c: sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}"))
-    met = pairs.select("u", "v").distinct().join(side("u"), "u").join(side("v"), "v")
+    met = pairs.join(side("u"), "u").join(side("v"), "v")
     both = F.size(F.array_intersect("su", "sv"))
     return met.where(both * (TOP + BOTTOM) >= (F.size("su") + F.size("sv")) * TOP).select("u", "v")
 
@@ -118,16 +118,27 @@ def similar_groups(docs: DataFrame, spark: SparkSession, shingle: int = 5, id_co
     at_key = Window.partitionBy("key")
     keyed = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
     shared = scratch.put(keyed.withColumn("many", F.count("*").over(at_key)).where("many > 1").drop("many"), "shared")
-    meeting = shared.select("node").distinct()
-    holders = scratch.put(nodes.join(meeting, "node", "left_semi").select(F.col("least").alias("id")).distinct(), "holders")
-    held = texts.join(holders.withColumnRenamed("id", "holder"), F.col("id").eqNullSafe(F.col("holder")), "left_semi")
-    sets = scratch.put(held.mapInPandas(whole, "node long, s array<long>").join(meeting, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    ids = scratch.put(marked.select("id", "node"), "ids")
+    least = scratch.put(nodes.select("node", "least"), "least")
+    for name in ("marked", "nodes"):  # their keys are the larger part
+        scratch.drop(name)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs that are similar enough; only texts that are in a pair are cut again."""
+        pairs = scratch.put(pairs.select("u", "v").distinct(), f"{name}-pairs")
+        meeting = scratch.put(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{name}-nodes")
+        holders = scratch.put(least.join(meeting, "node", "left_semi").select(F.col("least").alias("holder")).distinct(), f"{name}-holders")
+        held = texts.join(holders, F.col("id").eqNullSafe(F.col("holder")), "left_semi")
+        sets = scratch.put(held.mapInPandas(whole, "node long, s array<long>").join(meeting, "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
+        out = scratch.put(_verified(pairs, sets), name)
+        scratch.drop(f"{name}-sets")
+        return out
 
     before = lambda c, k: F.lag(c, k).over(at_key.orderBy("n", "node"))
     rows = shared.withColumns({f"b{k}": F.struct(before("node", k).alias("node2"), before("n", k).alias("n2"), before("pos", k).alias("pos2")) for k in BESIDE})
     beside = rows.select("node", "n", "pos", F.inline(F.array(*(f"b{k}" for k in BESIDE))))
     chained = beside.where(_may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
-    first = scratch.put(_verified(chained.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")), sets), "first")
+    first = verified(chained.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")), "first")
     roots = connected_components(first, scratch, "a").distinct()
 
     rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -135,9 +146,9 @@ def similar_groups(docs: DataFrame, spark: SparkSession, shingle: int = 5, id_co
     open_ = scratch.put(apart.select("key", "node", "n", "pos", "root"), "open")
     a, b = open_.alias("a"), open_.alias("b")
     across = a.join(b, "key").where("a.node < b.node and a.root <> b.root").where(_may_link(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos")))
-    second = scratch.put(_verified(across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), sets), "second")
+    second = verified(across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), "second")
     roots = connected_components(first.unionByName(second), scratch, "b").distinct()
 
-    found = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = scratch.put(found.join(found.groupBy("root").agg(F.min("least").alias("group_id")), "root").select("node", "group_id"), "named")
-    return marked.select("id", "node").join(named, "node").drop("node")
+    return ids.join(named, "node").drop("node")
