@@ -365,6 +365,12 @@ def test_nearest(spark, ship):
     assert len(few) == 2
 
 
+def test_nearest_beside_a_repeated_id():
+    ids, same = np.array([1] * 21 + [5, 6, 7]), np.ones((24, 4))
+    q, c, _ = neighbours.tile_nearest(np.array([1]), same[:1], ids, same, 20)
+    assert q.tolist() == [1, 1, 1] and c.tolist() == [5, 6, 7]
+
+
 # ---- op 7 ----
 
 

@@ -6,7 +6,7 @@ follows from the rounding of both vectors. A candidate survives a tile if its up
 largest lower bound; survivors are computed again from the original vectors in double precision, and the best of
 all tiles are merged, first within a task by heaps and then for each query. So the result is exact.
 
-Of equal candidates in a block only the k + 1 smallest ids are kept: ties go to the smaller id, so no other can
+Of equal candidates in a block only those with the k + 1 smallest distinct ids are kept: ties go to the smaller id, so no other can
 be in a result. Tiles are spread by keys of query block and candidate block; queries are a stated twentieth of
 the rows, so that work is their product with the rows, each row once for each block of ``query_rows`` queries.
 
@@ -61,7 +61,8 @@ def tile_nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     _, same = np.unique(c, axis=0, return_inverse=True)
     order = np.lexsort((c_ids, same.ravel()))
     start = np.concatenate(([True], np.diff(same.ravel()[order]) > 0))
-    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
+    other = np.cumsum(start | np.concatenate(([True], np.diff(c_ids[order]) != 0)))  # rows that repeat id and vector count once
+    nth = other - np.maximum.accumulate(np.where(start, other, 0))
     keep = np.sort(order[nth <= k])
     c_ids, c = c_ids[keep], c[keep]
     q8, qs, qn, qe = _quantised(q)
