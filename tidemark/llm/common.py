@@ -95,5 +95,10 @@ def literal_rows(spark: SparkSession, rows: Sequence[tuple], **types: str) -> Da
     return spark.range(1).select(F.inline(F.array(*structs) if structs else none))
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Marks a written table of a few short columns for broadcasting if it is counted to be small; else Spark's joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,9 +1,16 @@
 """SimHash near duplicates by pigeonhole blocks.
 
-Fingerprints of one or more 64-bit words are cut into blocks. With ``choose`` blocks to a key, a pair that
-differs in at most ``blocks - choose`` bits agrees on all blocks of at least one key, so joining on keys and
-then verifying the Hamming distance finds every such pair; a larger distance is allowed, and then pairs are
-found with the probability that one key agrees. Components of the links are the groups of near duplicates.
+Each 64-bit word of a fingerprint is cut into blocks, and a key is a choice of blocks of one word. A pair that
+differs in at most ``blocks - choose`` bits of a word agrees on all blocks of at least one of its keys, so joining
+on keys and then verifying the Hamming distance finds every such pair. Components of the links are the groups of
+near duplicates. ``near_duplicate_groups`` links one-word fingerprints at a distance that the blocks guarantee; its
+keys get longer as fingerprints get more, so that a key is shared by few of them.
+
+``similar_groups`` finds texts whose sets of word shingles have a Jaccard similarity of at least 4/5. At that
+similarity 15 % of the bits differ, which no choice of blocks guarantees to find; fingerprints of ``WIDTH`` words
+have so many keys that a pair right at the limit shares one with a chance of 0.98, a pair at 0.85 of 0.998. Pairs
+that share a key and lie within ``DISTANCE`` bits join texts to candidate clusters, and within a cluster the whole
+sets are compared: only pairs that are similar enough by exact count are links.
 
 Equal fingerprints are one node throughout, so copies never meet as pairs. The fingerprints that share a key
 are compared in numpy, and a key gives the edges of a spanning forest and not all its links: no link that
@@ -17,6 +24,7 @@ if there is none; an empty table gives an empty result; other columns are not re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,13 +34,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, broadcast_if_small, table
 from .components import connected_components
-from .shinglejoin import similar_groups
-from .textops import slices
+from .textops import mix, slices, word_hashes
 
 #: Keys that more fingerprints share are compared in tiles of pairs of such chunks.
 CHUNK = 1024
+#: Jaccard similarity of a link between sets, as a fraction.
+TOP, BOTTOM = 4, 5
+#: Words of a set's fingerprint, and the most bits in which candidates differ: at the limit of similarity 15.1 % do, and two standard deviations more.
+WIDTH, DISTANCE = 12, 136
+#: Shingles in a chunk of a candidate cluster, at most about.
+CHUNK_SHINGLES = 1_000_000
 
 
 def _majority(h: np.ndarray) -> np.uint64:
@@ -74,22 +87,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInPandas(of, "id long, f0 long")
 
 
-def _keys(width: int, blocks: int, choose: int) -> Column:
-    """One long for each choice of blocks: its number and the chosen bits."""
-    edges = [round(i * 64 * width / blocks) for i in range(blocks + 1)]
-
-    def block(i: int) -> tuple[Column, int]:
-        a, b = edges[i], edges[i + 1]
-        word = a // 64
-        assert (b - 1) // 64 == word, "a block lies within one word"
-        return F.shiftrightunsigned(F.col(f"f{word}"), a % 64).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")), b - a
-
+def _keys(blocks: int, choose: int) -> Column:
+    """One long for each choice of blocks of the word ``f``, number ``word``: the choice's number and the chosen bits."""
+    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
+    choices = list(combinations(range(blocks), choose))
     out = []
-    for n, chosen in enumerate(combinations(range(blocks), choose)):
-        key = F.lit(n).cast("long")
+    for n, chosen in enumerate(choices):
+        key = F.col("word").cast("long") * len(choices) + n
         for i in chosen:
-            bits, size = block(i)
-            key = F.shiftleft(key, size).bitwiseOR(bits)
+            size = edges[i + 1] - edges[i]
+            key = F.shiftleft(key, size).bitwiseOR(F.shiftrightunsigned("f", edges[i]).bitwiseAND(F.lit((1 << size) - 1).cast("long")))
         out.append(key)
     return F.array(*out)
 
@@ -141,12 +148,22 @@ def _run_links(key: np.ndarray, f: np.ndarray, distance: int) -> tuple[np.ndarra
     return np.concatenate(out_u), np.concatenate(out_v)
 
 
+def _tiled(rows: DataFrame, by: str, chunks: Column, columns: list[str]) -> DataFrame:
+    """Deals each group's nodes to chunks and sends each pair of chunks, p and q, to one task."""
+    return (
+        rows.withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), chunks))
+        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+        .select(by, F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "node", *columns)
+    )
+
+
 def links(nodes: DataFrame, width: int, blocks: int, choose: int, distance: int, scratch: Scratch) -> DataFrame:
     """(u, v): links between rows of ``nodes`` (node, f0, ...), which hold different fingerprints."""
     cols = [f"f{k}" for k in range(width)]
-    keyed = nodes.withColumn("key", F.explode(_keys(width, blocks, choose)))
+    keyed = nodes.select("node", F.posexplode(F.array(*cols)).alias("word", "f")).select("node", F.explode(_keys(blocks, choose)).alias("key"))
     sizes = scratch.put(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    sized = keyed.join(sizes, "key")
+    shared = scratch.put(keyed.join(sizes, "key"), "shared")  # without fingerprints, as most keys are shared by nobody
+    sized = shared.join(nodes.select("node", *cols), "node")
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by key; the last run waits for the next batch."""
@@ -167,13 +184,7 @@ def links(nodes: DataFrame, width: int, blocks: int, choose: int, distance: int,
 
     near = sized.where(F.col("n") <= CHUNK).select("key", "node", *cols).repartition("key").sortWithinPartitions("key").mapInPandas(runs, "u long, v long")
 
-    chunks = F.ceil(F.col("n") / CHUNK)
-    heavy = (
-        sized.where(F.col("n") > CHUNK)
-        .withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), chunks))
-        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-        .select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "node", *cols)
-    )
+    heavy = _tiled(sized.where(F.col("n") > CHUNK), "key", F.ceil(F.col("n") / CHUNK), cols)
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         u, v = _forest(_close(pdf[cols].to_numpy(np.int64).view(np.uint64), distance))
@@ -184,14 +195,18 @@ def links(nodes: DataFrame, width: int, blocks: int, choose: int, distance: int,
 
 
 def near_duplicate_groups(
-    docs: DataFrame, spark: SparkSession, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, blocks: int = 6, choose: int = 2, distance: int = 4
+    docs: DataFrame, spark: SparkSession, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, choose: int | None = None, distance: int = 4
 ) -> DataFrame:
-    """(id, f0, group_id): one row for each document; group_id is the smallest id reachable."""
+    """(id, f0, group_id): one row for each document; group_id is the smallest id reachable.
+
+    Keys are ``choose`` of ``distance + choose`` blocks, by default as many as keep few fingerprints to a key.
+    """
     scratch = Scratch(spark)
     marked = scratch.put(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     node = F.col("f0")
     nodes = scratch.put(marked.groupBy("f0").agg(F.min("id").alias("least")).withColumn("node", node), "nodes")
-    roots = connected_components(scratch.put(links(nodes.drop("least"), 1, blocks, choose, distance, scratch), "links"), scratch)
+    choose = choose or next((c for c in range(2, 6) if 64 * c // (distance + c) >= math.log2(1 + nodes.count()) + 2), 6)
+    roots = connected_components(scratch.put(links(nodes.drop("least"), 1, distance + choose, choose, distance, scratch), "links"), scratch)
     rooted = nodes.join(roots.distinct(), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("group_id"))
     named = scratch.put(rooted.join(least, "root").select("node", "group_id"), "named")
@@ -203,11 +218,136 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("group_id").alias("component_id"))
 
 
+def shingle_sets(texts, shingle: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles of lower-cased words; a text shorter than a shingle is one."""
+    h, first = word_hashes(texts)
+    odd = [np.uint64(pow(0xC2B2AE3D27D4EB4F, j, 1 << 64)) for j in range(shingle)]
+    out = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        w = h[a:b]
+        g = np.zeros(max(1, len(w) - shingle + 1) if len(w) else 0, np.uint64)
+        for j in range(min(shingle, len(w))):
+            g += w[j : j + len(g)] * odd[j]
+        out.append(np.unique(mix(g)))
+    return out
+
+
+def set_fingerprints(sets: list[np.ndarray], width: int = WIDTH) -> np.ndarray:
+    """Majority bits of each set, ``width`` words of them; a set is a row. An empty set has zeros."""
+    size = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros((len(sets), width), np.uint64)
+    full = np.flatnonzero(size)
+    if not len(full):
+        return out
+    flat, n = np.concatenate([sets[i] for i in full]), size[full]
+    # runs of at most 255 shingles are summed in bytes, eight to a word
+    runs = -(-n // 255)
+    first = np.cumsum(runs) - runs
+    of = np.repeat(np.arange(len(n)), runs)
+    start = (np.cumsum(n) - n)[of] + 255 * (np.arange(runs.sum()) - first[of])
+    end = np.append(start[1:], len(flat))
+    for w in range(width):
+        seed, sums = np.uint64(0x9E3779B97F4A7C15 * (2 * w + 1) % (1 << 64)), []
+        for a in range(0, len(start), 1024):
+            z = min(a + 1024, len(start))
+            h = mix(flat[start[a] : end[z - 1]] ^ seed)
+            lanes = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+            sums.append(np.add.reduceat(lanes, start[a:z] - start[a], axis=0).view(np.uint8).astype(np.int32))
+        count = np.add.reduceat(np.concatenate(sums), first, axis=0)
+        out[full, w] = np.packbits(count * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def _set_name(s: np.ndarray) -> int:
+    return int(mix(s + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64))
+
+
+def _set_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the sets that are similar enough, by exact counts of what they share."""
+    size = np.array([len(s) for s in sets], np.int64)
+    if len(sets) == 2:
+        both = np.array([[size[0], 0], [0, size[1]]])
+        both[0, 1] = both[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+    else:
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        _, of, count = np.unique(flat, return_inverse=True, return_counts=True)
+        some = count[of] > 1  # a shingle of one set is shared by none
+        column = np.cumsum(count > 1) - 1
+        of, owner = column[of[some]], owner[some]
+        order = np.argsort(of, kind="stable")
+        of, owner = of[order], owner[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)  # exact below 2**24 shingles
+        step = max(256, 8_000_000 // len(sets))
+        for a in range(0, int(of[-1]) + 1 if len(of) else 0, step):
+            x, z = np.searchsorted(of, (a, a + step))
+            m = np.zeros((len(sets), step), np.float32)
+            m[owner[x:z], of[x:z] - a] = 1
+            both += m @ m.T
+    return _forest(both * (TOP + BOTTOM) >= TOP * (size[:, None] + size))
+
+
+def similar_groups(docs: DataFrame, spark: SparkSession, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group_id): one row for each document; group_id is the smallest id reachable by links of similarity 4/5 or more.
+
+    Sets of word shingles are compared, so a repeated shingle counts once; texts with equal sets are one node.
+    """
+    scratch, cols = Scratch(spark), [f"f{k}" for k in range(WIDTH)]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                sets = shingle_sets(part["t"], shingle)
+                prints = set_fingerprints(sets).view(np.int64)
+                yield pd.DataFrame({"id": part["id"].astype("Int64").array, "node": [_set_name(s) for s in sets], "n": [len(s) for s in sets], **{c: prints[:, k] for k, c in enumerate(cols)}})
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                sets = shingle_sets(part["t"], shingle)
+                yield pd.DataFrame({"node": [_set_name(s) for s in sets], "s": [s.tobytes() for s in sets]})
+
+    marked = scratch.put(texts.mapInPandas(mark, f"id long, node long, n long, {', '.join(f'{c} long' for c in cols)}"), "marked")
+    nodes = scratch.put(marked.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("n", *cols))), "nodes")
+    clusters = connected_components(scratch.put(links(nodes.select("node", *cols), WIDTH, 6, 2, DISTANCE, scratch), "near"), scratch, "a").distinct()
+    members = scratch.put(nodes.select("node", "n", "least").join(clusters.withColumnRenamed("root", "cluster"), "node"), "members")
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).alias("chunks")
+    holders = broadcast_if_small(scratch.put(members.select(F.col("least").alias("holder")).distinct(), "holders"))
+    held = texts.join(holders, F.col("id").eqNullSafe(F.col("holder")), "left_semi")  # only texts of clusters are cut again
+    placed = members.select("node", "cluster").join(members.groupBy("cluster").agg(chunks), "cluster")
+    sets = scratch.put(held.mapInPandas(cut, "node long, s binary").join(placed, "node").dropDuplicates(["node"]), "sets")
+
+    def of(part: pd.DataFrame) -> pd.DataFrame:
+        u, v = _set_links([np.frombuffer(s, np.uint64) for s in part["s"]])
+        node = part["node"].to_numpy()
+        return pd.DataFrame({"u": node[u], "v": node[v]})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by cluster; the last cluster waits for the next batch."""
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch])
+            cuts = [0, *(np.flatnonzero(np.diff(rest["cluster"].to_numpy())) + 1)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                yield of(rest.iloc[a:z])
+            rest = rest.iloc[cuts[-1] :]
+        if rest is not None and len(rest):
+            yield of(rest)
+
+    small = sets.where("chunks <= 1").select("cluster", "node", "s").repartition("cluster").sortWithinPartitions("cluster").mapInPandas(whole, "u long, v long")
+    large = _tiled(sets.where("chunks > 1"), "cluster", F.col("chunks"), ["s"]).groupBy("cluster", "p", "q").applyInPandas(of, "u long, v long")
+    roots = connected_components(scratch.put(small.unionByName(large), "links"), scratch, "b").distinct()
+    found = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = scratch.put(found.join(found.groupBy("root").agg(F.min("least").alias("group_id")), "root").select("node", "group_id"), "named")
+    return marked.select("id", "node").join(named, "node").drop("node")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates the document with the smallest id stays.
 
-    Links are all pairs whose sets of five-word shingles have a Jaccard similarity of at least 0.8, found and
-    verified exactly. Rows that repeat an id are one document; rows without an id stay.
+    Links are pairs whose sets of five-word shingles have a Jaccard similarity of at least 0.8, found by blocks of
+    fingerprints and verified exactly. Rows that repeat an id are one document; rows without an id stay; an empty
+    table stays empty; further columns are kept as they are.
     """
     groups = similar_groups(docs, spark, shingle=5)
     scratch = Scratch(spark)  # written, so that its size decides how it is joined
