@@ -537,7 +537,19 @@ def test_toxicity_odd(spark, odd, empty):
     none = toxicity.train(odd, labels.limit(0), spark)
     assert {r.tox for r in toxicity.scored(odd, none, spark, ("doc_id",), "tox").collect()} == {0.0}
     assert toxicity.scored(empty, toxicity.train(empty, labels, spark), spark, ("doc_id",), "tox").count() == 0
-    assert toxicity.toxicity_stage(spark, odd, SF).columns == odd.columns
+    clash = odd.withColumns({c: odd.text for c in ("text__", "score_", "size_", "taken_", "ka_", "kb_", "row_", "size", "taken", "nth", "o", "b", "s", "whole", "rest")})
+    for frame in (odd, clash, clash.limit(0)):
+        kept = toxicity.toxicity_stage(spark, frame, SF)
+        assert kept.columns == frame.columns and sorted(map(str, kept.collect())) == sorted(map(str, frame.collect()))  # nothing toxic here
+        mixed = mixing.mixing_stage(spark, frame, SF)
+        assert mixed.columns == frame.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in frame.collect()}
+
+
+def test_mixing_stage_takes_what_the_mix_says(spark, ship):
+    rows = [(1, "same words here in a row", "a")] * 20 + [(i, "some other words", s) for i, s in enumerate("bbccc", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sum(r.taken for r in mixing.mix(df, spark).collect())
+    assert sum(len(WORD.findall(r.text)) for r in mixing.mixing_stage(spark, df, SF).collect()) == want
 
 
 # ---- pipeline ----

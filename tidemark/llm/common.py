@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,39 +33,52 @@ def crc_mod(key: str, modulus: int) -> Column:
 
 
 class Scratch:
-    """Tables in the folder that driver and executors share.
+    """Tables in the folder that driver and executors share, deleted when the application ends at the latest.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset the session runs on one
-    machine, as in tests, and a temporary folder serves.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a session on one machine, as in
+    tests, has a temporary folder; on a cluster it is an error.
     """
 
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         self.spark = spark
-        if int(spark.conf.get(_BATCH)) > 2000:  # Python workers hold a batch of texts in several forms
-            spark.conf.set(_BATCH, "2000")
         self.root = f"{base or tempfile.mkdtemp(prefix='tidemark-')}/t-{uuid.uuid4().hex}"
+        path, files = self._files(self.root)
+        files.deleteOnExit(path)
+
+    def _files(self, at: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def put(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
         """Writes a table, which cuts the lineage, and returns it as read again."""
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        with _settings(self.spark):
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name), partitionBy=list(partition_by) or None)
-        finally:
-            if before is None:
-                self.spark.conf.unset(_CLEANUP)
-            else:
-                self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path, files = self._files(self.path(name))
+            files.delete(path, True)
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """The session's settings while a table is written: small batches, as Python workers hold a batch of texts in several forms."""
+    wanted = {_CLEANUP: "true", _BATCH: str(min(2000, int(spark.conf.get(_BATCH))))}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 _sent: set[str] = set()

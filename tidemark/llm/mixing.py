@@ -125,17 +125,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Pipeline stage: each document as often as the mix takes it.
 
     A repetition in part holds the first words of the text, joined by spaces, and its own number of characters.
+    Rows travel whole through the mix, so that rows that repeat an id and a text are each taken as it says; a text
+    without words goes; further columns are kept as they are, whatever their names; an empty table stays empty.
     """
-    text_hash = F.xxhash64(text_or_empty())
-    key = lambda: (F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_hash)
-    plan = mix(docs.withColumn("k_", F.struct(*key()).cast("struct<a:string,b:long>")), spark, keep=("k_",))
-    taken = plan.groupBy(F.col("k_.a").alias("ka_"), F.col("k_.b").alias("kb_")).agg(F.max("size").alias("size_"), F.max("taken").alias("taken_")).where("taken_ > 0")
-    marked = docs.withColumn("ka__", key()[0]).withColumn("kb__", key()[1]).join(taken, (F.col("ka__") == F.col("ka_")) & (F.col("kb__") == F.col("kb_")))
-    again = marked.withColumn("nth_", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken_") / F.col("size_")))))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    part = F.array_join(F.slice(words, 1, (F.col("taken_") - F.col("size_") * (F.col("nth_") - 1)).cast("int")), " ")
-    cut = F.col("nth_") * F.col("size_") > F.col("taken_")
-    out = again.withColumn("text", F.when(cut, part).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    rows = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"))
+    taken = mix(rows, spark, keep=("row_",)).where("taken > 0")
+    again = taken.select("row_", "size", "taken", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))).alias("nth"))
+    cut = F.col("nth") * F.col("size") > F.col("taken")
+    words = F.filter(F.split("row_.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    part = F.array_join(F.slice(words, 1, (F.col("taken") - F.col("size") * (F.col("nth") - 1)).cast("int")), " ")
+    cells = {c: F.col("row_").getField(c) for c in docs.columns}
+    cells["text"] = F.when(cut, part).otherwise(cells["text"])
+    if "n_chars" in cells:
+        cells["n_chars"] = F.when(cut, F.length(part)).otherwise(cells["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return again.select(*(v.alias(c) for c, v in cells.items()))
