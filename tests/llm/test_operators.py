@@ -156,7 +156,7 @@ def test_simhash_links_in_hot_keys(spark, ship, monkeypatch):
 
     want = components([int(x) for x in f], list(range(len(f))))
     pair = lambda a: {i: frozenset(np.flatnonzero(np.array(a) == a[i]).tolist()) for i in range(len(a))}
-    for choose in (2, 4):
+    for choose in (2, 4):  # keys of few and of many fingerprints
         scratch = Scratch(spark)
         roots = dict(connected_components(simhash.links(nodes, 1, 4 + choose, choose, 4, scratch), scratch).distinct().collect())
         assert pair([roots.get(int(x), int(x)) for x in f.view(np.int64)]) == pair(want)

@@ -53,16 +53,14 @@ def water_fill(sources: DataFrame, max_epochs: float, scratch: Scratch) -> DataF
 def mix(docs: DataFrame, spark: SparkSession, cycle: tuple[int, ...] = (1, 2, 3), max_epochs: float = 3, seed: str = "mix-1", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) and the columns of ``keep`` for each row of ``docs``."""
     scratch = Scratch(spark)
-    sized = scratch.put(
-        docs.select(
-            F.col("doc_id"),
-            *keep,
-            F.col("source").cast("string").alias("source"),
-            word_count().alias("size"),
-            F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("doc_id").isNull(), F.md5(text_or_empty().cast("binary"))))).alias("o"),
-        ),
-        "sized",
+    rows = docs.select(
+        F.col("doc_id"),
+        *keep,
+        F.col("source").cast("string").alias("source"),
+        word_count().alias("size"),
+        F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("doc_id").isNull(), F.md5(text_or_empty().cast("binary"))))).alias("o"),
     )
+    sized = scratch.put(rows.drop(*keep), "sized")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = by_source.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)  # one row a source
     weights = F.array(*(F.lit(float(w)) for w in cycle))
@@ -84,7 +82,8 @@ def mix(docs: DataFrame, spark: SparkSession, cycle: tuple[int, ...] = (1, 2, 3)
         .select(F.col("y.source").alias("s"), "source_size", "target", "whole", "rest", "cut_b", "cut_before"),
         "cuts",
     )
-    placed = sized.withColumn("b", bucket).join(of, F.col("source").eqNullSafe(F.col("s")))
+    # kept columns may be large: they are read again and not written
+    placed = (rows if keep else sized).withColumn("b", bucket).join(of, F.col("source").eqNullSafe(F.col("s")))
     whole = F.col("whole") * F.col("size")
     away = placed.where("cut_b is null or b <> cut_b").withColumn("taken", whole + F.when(F.col("cut_b").isNull() | (F.col("b") < F.col("cut_b")), F.when(F.col("rest") > 0, F.col("size")).otherwise(0)).otherwise(0))
     run = F.coalesce(F.sum("size").over(Window.partitionBy("s").orderBy("o", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -7,14 +7,15 @@ near duplicates. ``near_duplicate_groups`` links one-word fingerprints at a dist
 keys get longer as fingerprints get more, so that a key is shared by few of them.
 
 ``similar_groups`` finds texts whose sets of word shingles have a Jaccard similarity of at least 4/5. At that
-similarity 15 % of the bits differ, which no choice of blocks guarantees to find; fingerprints of ``WIDTH`` words
-have so many keys that a pair right at the limit shares one with a chance of 0.98, a pair at 0.85 of 0.998. Pairs
-that share a key and lie within ``DISTANCE`` bits join texts to candidate clusters, and within a cluster the whole
-sets are compared: only pairs that are similar enough by exact count are links.
+similarity 15 % of the bits differ, which no choice of blocks guarantees to find; fingerprints have so many words
+and keys (``PLANS``) that a pair right at the limit shares one with a chance of 0.91, a pair at 0.82 of 0.96, at
+0.85 of 0.99 and at 0.9 of 0.9998. Pairs that share a key and differ in at most two standard deviations more bits
+than expected join texts to candidate clusters, and within a cluster the whole sets of all its texts are compared:
+only pairs that are similar enough by exact count are links.
 
 Equal fingerprints are one node throughout, so copies never meet as pairs. The fingerprints that share a key
-are compared in numpy, and a key gives the edges of a spanning forest and not all its links: no link that
-connects different groups is lost, and no group emits all its pairs. A key that more than ``CHUNK`` share is cut
+are compared in numpy, and a key gives edges that connect what its links connect and not all its links: no link
+that connects different groups is lost, and no group emits all its pairs. A key that more than ``CHUNK`` share is cut
 into tiles of bounded size, each pair of chunks being compared once in one task.
 
 Defined results: a null text counts as empty; texts without words have the fingerprint zero and link like any
@@ -42,8 +43,10 @@ from .textops import mix, slices, word_hashes
 CHUNK = 1024
 #: Jaccard similarity of a link between sets, as a fraction.
 TOP, BOTTOM = 4, 5
-#: Words of a set's fingerprint, and the most bits in which candidates differ: at the limit of similarity 15.1 % do, and two standard deviations more.
-WIDTH, DISTANCE = 12, 136
+#: Up to so many texts, words of a set's fingerprint and blocks of a word, of which two make a key: the more texts, the longer keys.
+PLANS = ((1 << 25, 20, 5), (1 << 63, 100, 4))
+#: Share of bits in which sets at the limit of similarity differ.
+APART = math.acos(2 * TOP / (TOP + BOTTOM)) / math.pi
 #: Shingles in a chunk of a candidate cluster, at most about.
 CHUNK_SHINGLES = 1_000_000
 
@@ -101,18 +104,20 @@ def _keys(blocks: int, choose: int) -> Column:
     return F.array(*out)
 
 
-def _forest(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of a boolean adjacency matrix; each row is looked at once."""
+def _stars(close: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An edge from each row of a boolean adjacency matrix to the row of the smallest node that it is connected to.
+
+    Smallest nodes tend to be the same for all keys, so that the keys of a large group give nearly the same edges.
+    """
     left, us, vs = np.ones(len(close), bool), [], []
-    for s in range(len(close)):
+    for s in np.argsort(node, kind="stable"):
         if left[s]:
             left[s], stack = False, [s]
             while stack:
-                u = stack.pop()
-                new = np.flatnonzero(close[u] & left)
+                new = np.flatnonzero(close[stack.pop()] & left)
                 left[new] = False
                 stack.extend(new.tolist())
-                us.append(np.full(len(new), u))
+                us.append(np.full(len(new), s))
                 vs.append(new)
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, int), np.zeros(0, int))
 
@@ -124,8 +129,8 @@ def _close(f: np.ndarray, distance: int) -> np.ndarray:
     return close
 
 
-def _run_links(key: np.ndarray, f: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of spanning forests within runs of equal keys."""
+def _run_links(key: np.ndarray, node: np.ndarray, f: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what is close within runs of equal keys, fewer than there are rows."""
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(start, len(key)))
     run = np.repeat(np.arange(len(start)), size)
@@ -142,7 +147,7 @@ def _run_links(key: np.ndarray, f: np.ndarray, distance: int) -> tuple[np.ndarra
     out_u, out_v = [u[thin]], [v[thin]]
     for r in np.flatnonzero((found >= size) | (size > 64)):
         a = start[r]
-        i, j = _forest(_close(f[a : a + size[r]], distance))
+        i, j = _stars(_close(f[a : a + size[r]], distance), node[a : a + size[r]])
         out_u.append(a + i)
         out_v.append(a + j)
     return np.concatenate(out_u), np.concatenate(out_v)
@@ -178,8 +183,8 @@ def links(nodes: DataFrame, width: int, blocks: int, choose: int, distance: int,
             yield of(rest)
 
     def of(part: pd.DataFrame) -> pd.DataFrame:
-        u, v = _run_links(part["key"].to_numpy(), part[cols].to_numpy(np.int64).view(np.uint64), distance)
         node = part["node"].to_numpy()
+        u, v = _run_links(part["key"].to_numpy(), node, part[cols].to_numpy(np.int64).view(np.uint64), distance)
         return pd.DataFrame({"u": node[u], "v": node[v]})
 
     near = sized.where(F.col("n") <= CHUNK).select("key", "node", *cols).repartition("key").sortWithinPartitions("key").mapInPandas(runs, "u long, v long")
@@ -187,8 +192,8 @@ def links(nodes: DataFrame, width: int, blocks: int, choose: int, distance: int,
     heavy = _tiled(sized.where(F.col("n") > CHUNK), "key", F.ceil(F.col("n") / CHUNK), cols)
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, v = _forest(_close(pdf[cols].to_numpy(np.int64).view(np.uint64), distance))
         node = pdf["node"].to_numpy()
+        u, v = _stars(_close(pdf[cols].to_numpy(np.int64).view(np.uint64), distance), node)
         return pd.DataFrame({"u": node[u], "v": node[v]})
 
     return near.unionByName(heavy.groupBy("key", "p", "q").applyInPandas(tile, "u long, v long"))
@@ -232,7 +237,7 @@ def shingle_sets(texts, shingle: int) -> list[np.ndarray]:
     return out
 
 
-def set_fingerprints(sets: list[np.ndarray], width: int = WIDTH) -> np.ndarray:
+def set_fingerprints(sets: list[np.ndarray], width: int) -> np.ndarray:
     """Majority bits of each set, ``width`` words of them; a set is a row. An empty set has zeros."""
     size = np.array([len(s) for s in sets], np.int64)
     out = np.zeros((len(sets), width), np.uint64)
@@ -248,8 +253,8 @@ def set_fingerprints(sets: list[np.ndarray], width: int = WIDTH) -> np.ndarray:
     end = np.append(start[1:], len(flat))
     for w in range(width):
         seed, sums = np.uint64(0x9E3779B97F4A7C15 * (2 * w + 1) % (1 << 64)), []
-        for a in range(0, len(start), 1024):
-            z = min(a + 1024, len(start))
+        for a in range(0, len(start), 256):
+            z = min(a + 256, len(start))
             h = mix(flat[start[a] : end[z - 1]] ^ seed)
             lanes = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
             sums.append(np.add.reduceat(lanes, start[a:z] - start[a], axis=0).view(np.uint8).astype(np.int32))
@@ -262,8 +267,8 @@ def _set_name(s: np.ndarray) -> int:
     return int(mix(s + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64))
 
 
-def _set_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the sets that are similar enough, by exact counts of what they share."""
+def _set_links(sets: list[np.ndarray], node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the sets that are similar enough, by exact counts of what they share."""
     size = np.array([len(s) for s in sets], np.int64)
     if len(sets) == 2:
         both = np.array([[size[0], 0], [0, size[1]]])
@@ -283,7 +288,7 @@ def _set_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             m = np.zeros((len(sets), step), np.float32)
             m[owner[x:z], of[x:z] - a] = 1
             both += m @ m.T
-    return _forest(both * (TOP + BOTTOM) >= TOP * (size[:, None] + size))
+    return _stars(both * (TOP + BOTTOM) >= TOP * (size[:, None] + size), node)
 
 
 def similar_groups(docs: DataFrame, spark: SparkSession, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,14 +296,17 @@ def similar_groups(docs: DataFrame, spark: SparkSession, shingle: int = 5, id_co
 
     Sets of word shingles are compared, so a repeated shingle counts once; texts with equal sets are one node.
     """
-    scratch, cols = Scratch(spark), [f"f{k}" for k in range(WIDTH)]
+    scratch = Scratch(spark)
+    rows = docs.count()
+    width, blocks = next((w, b) for most, w, b in PLANS if rows <= most)
+    cols, distance = [f"f{k}" for k in range(width)], round(64 * width * APART + 2 * math.sqrt(64 * width * APART * (1 - APART)))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in slices(batch, "t"):
                 sets = shingle_sets(part["t"], shingle)
-                prints = set_fingerprints(sets).view(np.int64)
+                prints = set_fingerprints(sets, width).view(np.int64)
                 yield pd.DataFrame({"id": part["id"].astype("Int64").array, "node": [_set_name(s) for s in sets], "n": [len(s) for s in sets], **{c: prints[:, k] for k, c in enumerate(cols)}})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -309,7 +317,11 @@ def similar_groups(docs: DataFrame, spark: SparkSession, shingle: int = 5, id_co
 
     marked = scratch.put(texts.mapInPandas(mark, f"id long, node long, n long, {', '.join(f'{c} long' for c in cols)}"), "marked")
     nodes = scratch.put(marked.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("n", *cols))), "nodes")
-    clusters = connected_components(scratch.put(links(nodes.select("node", *cols), WIDTH, 6, 2, DISTANCE, scratch), "near"), scratch, "a").distinct()
+    ids = scratch.put(marked.select("id", "node"), "ids")
+    scratch.drop("marked")
+    near = scratch.put(links(nodes.select("node", *cols), width, blocks, 2, distance, scratch), "near")
+    scratch.drop("sizes", "shared")
+    clusters = connected_components(near, scratch, "a").distinct()
     members = scratch.put(nodes.select("node", "n", "least").join(clusters.withColumnRenamed("root", "cluster"), "node"), "members")
     chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).alias("chunks")
     holders = broadcast_if_small(scratch.put(members.select(F.col("least").alias("holder")).distinct(), "holders"))
@@ -318,8 +330,8 @@ def similar_groups(docs: DataFrame, spark: SparkSession, shingle: int = 5, id_co
     sets = scratch.put(held.mapInPandas(cut, "node long, s binary").join(placed, "node").dropDuplicates(["node"]), "sets")
 
     def of(part: pd.DataFrame) -> pd.DataFrame:
-        u, v = _set_links([np.frombuffer(s, np.uint64) for s in part["s"]])
         node = part["node"].to_numpy()
+        u, v = _set_links([np.frombuffer(s, np.uint64) for s in part["s"]], node)
         return pd.DataFrame({"u": node[u], "v": node[v]})
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,7 +351,8 @@ def similar_groups(docs: DataFrame, spark: SparkSession, shingle: int = 5, id_co
     roots = connected_components(scratch.put(small.unionByName(large), "links"), scratch, "b").distinct()
     found = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = scratch.put(found.join(found.groupBy("root").agg(F.min("least").alias("group_id")), "root").select("node", "group_id"), "named")
-    return marked.select("id", "node").join(named, "node").drop("node")
+    scratch.drop("sets", "near", "members", "holders", "nodes", "links")
+    return ids.join(named, "node").drop("node")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
