@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import reduce
 
 import duckdb
 import numpy as np
@@ -388,10 +389,36 @@ def test_nearest(spark, ship):
     assert len(few) == 2
 
 
-def test_nearest_beside_a_repeated_id():
-    ids, same = np.array([1] * 21 + [5, 6, 7]), np.ones((24, 4))
-    q, c, _ = neighbours.tile_nearest(np.array([1]), same[:1], ids, same, 20)
-    assert q.tolist() == [1, 1, 1] and c.tolist() == [5, 6, 7]
+def few_nearest(spark, rows, **kw):
+    from pyspark.sql import functions as F
+
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, vec array<double>"), spark, F.col("vec_id") % 20 == 0, **kw).collect()
+    return [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(got)]
+
+
+def test_nearest_beside_a_repeated_id(spark, ship):
+    got = few_nearest(spark, [(i, [1.0] * 4) for i in [20] * 21 + [5, 6, 7]])
+    assert [x[1:3] for x in got[:21]] == [(1, 5)] * 21 and len(got) == 63
+
+
+def test_nearest_at_the_ends_of_doubles(spark, ship):
+    assert [x[2] for x in few_nearest(spark, [(0, [1e200, 1.0]), (1, [1e-200, 3.0]), (2, [2e-200, 1.0]), (3, [1.0, 1.0]), (4, [1.0, 2.0, 3.0])])] == [3, 1, 2]
+    r = np.random.default_rng(7)
+    rows = [(i, (r.normal(size=4) * 10.0 ** r.integers(-250, 250)).tolist()) for i in range(60)] + [(60, [5e-324, 0.0, 0.0, 0.0]), (61, [1.7e308] * 4)]
+    want = set()
+    with np.errstate(all="ignore"):
+        for q, v in rows:
+            if q % 20 == 0:
+                scores = [(-reduce(lambda t, x: t + x[0] * x[1], zip(v, w, strict=True), 0.0), i) for i, w in rows if i != q]
+                want |= {(q, n, i, -s) for n, (s, i) in enumerate(sorted(x for x in scores if not math.isnan(x[0]))[:20], 1)}
+    assert set(few_nearest(spark, rows, query_rows=2, candidate_rows=16)) == want
+
+
+def test_nearest_oracle(spark):
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
+    got = sorted(map(tuple, registry.queries()["op6_nearest"](spark, SF).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == sorted(con.sql(f"select query_id, rank, vec_id, score from ({neighbours.OP6_SQL})").fetchall())
 
 
 # ---- op 7 ----

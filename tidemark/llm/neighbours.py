@@ -1,31 +1,34 @@
 """Nearest neighbours by largest inner product as a block matrix join.
 
-Vectors are scaled to int8. Queries and candidates are packed into blocks of bounded size and each pair of
-blocks meets once, in a tile: the int8 product gives every inner product up to a bound on the error, which
-follows from the rounding of both vectors. A candidate survives a tile if its upper bound is not below the k-th
-largest lower bound; survivors are computed again from the original vectors in double precision, and the best of
-all tiles are merged, first within a task by heaps and then for each query. So the result is exact.
-
-Of equal candidates in a block only those with the k + 1 smallest distinct ids are kept: ties go to the smaller id, so no other can
-be in a result. Tiles are spread by keys of query block and candidate block; queries are a stated twentieth of
-the rows, so that work is their product with the rows, each row once for each block of ``query_rows`` queries.
-
-Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
-null ids or vectors of another length than most have; a query has fewer than k results if there are fewer
-candidates; of rows that repeat an id each is a candidate, and rows of the query's own id are none; an empty table
-gives an empty result; other columns are not read.
+Vectors are scaled by a power of two and rounded to int8 before any exchange. Queries and candidates are packed into
+blocks of bounded size and each pair of blocks meets once, in a tile: the int8 product, whose sums are exact in the
+type they are taken in, gives every inner product with a bound on the error that follows from the rounding of both
+vectors. A candidate survives a tile if its upper bound is not below the k-th largest lower bound there; the bounds
+of all tiles are merged for each query, in batches, under the k-th largest lower bound of all. What survives that is
+fetched by row from the original vectors, once, computed in double precision and ranked. So the result is exact.
+
+Of equal vectors only those with the k + 1 smallest distinct ids are candidates, at most k rows of each: ties go to
+the smaller id, so no other can be in a result. Spark limits these groups before it shuffles, so one very common
+vector is a few rows from each task. Tiles are spread by keys of query block and candidate block; queries are a
+stated twentieth of the rows, so that work is their product with the rows.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null
+ids; vectors of different lengths have no inner product and do not meet; a query has fewer than k results if there
+are fewer candidates; of rows that repeat an id each is a candidate and each a query, and rows of the query's own id
+are no candidates; a product that overflows to no number takes no part; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .arrays import dump, load
 from .common import Scratch, table
 
 
@@ -34,109 +37,127 @@ def _usable(vec: Column) -> Column:
     return vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, finite) & F.exists(vec, lambda x: x != 0)
 
 
-def _blocks(rows: DataFrame, rows_in_block: int, name: str) -> DataFrame:
-    """Packs (vec_id, vec) into blocks named by a hash of the id; a block has about ``rows_in_block`` rows."""
-    n = max(1, -(-rows.count() // rows_in_block))
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(pdf["vec_id"].to_numpy(), kind="stable")
-        matrix = np.vstack(pdf["vec"].to_numpy()[order]).astype("<f8")
-        return pd.DataFrame({name: [int(pdf[name].iloc[0])], "ids": [pdf["vec_id"].to_numpy(np.int64)[order].tobytes()], "data": [matrix.tobytes()]})
-
-    keyed = rows.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n)).cast("long"))
-    return keyed.groupBy(name).applyInPandas(packed, f"{name} long, ids binary, data binary")
-
-
-def _quantised(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 rows, their scales, the norm of each rounded row and the norm of its rounding error."""
-    scale = np.abs(m).max(axis=1) / 127
-    scale[scale == 0] = 1
-    q = np.rint(m / scale[:, None]).astype(np.int8)
+def quantised(m: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows as int8 times ``scale`` times 2 ** ``power``, with the norms of each rounded row and of its error before the power."""
+    power = np.frexp(np.abs(m).max(axis=1))[1].astype(np.int64)
+    unit = np.ldexp(np.ldexp(m, -(power // 2)[:, None]), -(power - power // 2)[:, None])  # in two steps, as 2 ** 1074 is no double
+    scale = np.abs(unit).max(axis=1) / 127
+    q = np.rint(unit / scale[:, None]).astype(np.int8)
     back = q * scale[:, None]
-    return q, scale, np.sqrt((back * back).sum(axis=1)), np.sqrt(((m - back) ** 2).sum(axis=1))
-
-
-def tile_nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of all that may be among the k best of this tile."""
-    _, same = np.unique(c, axis=0, return_inverse=True)
-    order = np.lexsort((c_ids, same.ravel()))
-    start = np.concatenate(([True], np.diff(same.ravel()[order]) > 0))
-    other = np.cumsum(start | np.concatenate(([True], np.diff(c_ids[order]) != 0)))  # rows that repeat id and vector count once
-    nth = other - np.maximum.accumulate(np.where(start, other, 0))
-    keep = np.sort(order[nth <= k])
-    c_ids, c = c_ids[keep], c[keep]
-    q8, qs, qn, qe = _quantised(q)
-    c8, cs, cn, ce = _quantised(c)
-    c32 = c8.astype(np.float32)  # products of int8 summed in float32 are exact below 2**24, else the float64 path
-    exact32 = q.shape[1] * 127 * 127 < 1 << 24
-    out_q, out_c, out_s = [], [], []
-    for a in range(0, len(q), rows):
-        left = q8[a : a + rows].astype(np.float32 if exact32 else np.float64)
-        dots = (left @ (c32 if exact32 else c8.astype(np.float64)).T).astype(np.float64) * qs[a : a + rows, None] * cs
-        # |q.c - q'.c'| <= |q'| |c - c'| + |c'| |q - q'| + |q - q'| |c - c'|, and room for rounding of doubles
-        slack = qn[a : a + rows, None] * ce + qe[a : a + rows, None] * (cn + ce)
-        slack += 1e-9 * (qn[a : a + rows, None] * cn + 1e-300)
-        dots[q_ids[a : a + rows, None] == c_ids] = -np.inf
-        low = dots - slack
+    return {"q": q, "scale": scale, "power": power, "norm": np.sqrt((back * back).sum(axis=1)), "error": np.sqrt(((unit - back) ** 2).sum(axis=1))}
+
+
+def tile_bounds(a: dict[str, np.ndarray], b: dict[str, np.ndarray], k: int, top: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of a, row of b, lower and upper bound) of all that may be among the k best of a row of ``a``.
+
+    Bounds are inner products over 2 ** (``top`` + the query's power).
+    """
+    d = a["q"].shape[1]
+    kind = np.float32 if d * 127 * 127 < 1 << 24 else np.float64  # sums of products of int8 are exact in it
+    right = b["q"].astype(kind).T
+    lift = np.ldexp(1.0, b["power"] - top)
+    for s in range(0, len(a["ids"]), rows):
+        x = {n: v[s : s + rows] for n, v in a.items()}
+        dots = (x["q"].astype(kind) @ right).astype(np.float64) * x["scale"][:, None] * b["scale"]
+        # |q.c - q'.c'| <= |q'| |c - c'| + |q - q'| (|c'| + |c - c'|), and room for the rounding of doubles
+        slack = x["norm"][:, None] * b["error"] + x["error"][:, None] * (b["norm"] + b["error"]) + 1e-9 * (x["norm"][:, None] * b["norm"])
+        # what doubles cannot tell apart at their ends: results below the smallest and above the largest
+        least = np.minimum(np.ldexp(float(d), np.maximum(-1070 - x["power"] - top, -1000)), 1e300)[:, None]
+        most = np.ldexp(0.999, np.minimum(1024 - x["power"] - top, 1020))[:, None]
+        low, high = np.minimum((dots - slack) * lift - least, most), (dots + slack) * lift + least
+        own = x["ids"][:, None] == b["ids"]
+        low[own], high[own] = -np.inf, -np.inf
         floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] > k else np.full(len(low), -np.inf)
-        i, j = np.nonzero((dots + slack >= floor[:, None]) & np.isfinite(dots))
-        for s in range(0, len(i), 1 << 18):
-            x, y = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-            score = (q[a + x] * c[y]).sum(axis=1)  # the same order of additions for every pair
-            out_q.append(q_ids[a + x])
-            out_c.append(c_ids[y])
-            out_s.append(score)
-    if not out_q:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    i, j, s = np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_s)
-    order = np.lexsort((j, -s, i))
-    first = np.concatenate(([True], np.diff(i[order]) > 0)) if len(i) else np.zeros(0, bool)
-    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    keep = order[nth < k]
-    return i[keep], j[keep], s[keep]
+        i, j = np.nonzero((high >= floor[:, None]) & ~own)
+        yield s + i, j, low[i, j], high[i, j]
 
 
 def nearest(vectors: DataFrame, spark: SparkSession, is_query: Column, k: int = 20, query_rows: int = 2048, candidate_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``vectors`` (vec_id, vec) that ``is_query`` marks."""
     scratch = Scratch(spark)
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec")).where(F.col("vec_id").isNotNull() & _usable(F.col("vec")))
-    width = usable.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = usable.where(F.size("vec") == (width["d"] if width else 0))
-    d = width["d"] if width else 0
-    queries = scratch.put(_blocks(rows.where(is_query), query_rows, "qb"), "queries")
-    candidates = scratch.put(_blocks(rows, candidate_rows, "cb"), "candidates")
-    n_c = max(1, -(-rows.count() // candidate_rows))
-    n_q = max(1, -(-rows.where(is_query).count() // query_rows))
-    # each query block is sent to every candidate block, and each candidate block to every query block: a key is a tile
-    left = queries.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
-    right = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+    rows = scratch.put(usable.select("vec_id", "vec", F.size("vec").alias("d"), is_query.alias("asks"), F.xxhash64("vec").alias("h"), F.monotonically_increasing_id().alias("row")), "rows")
+    same = F.row_number().over(Window.partitionBy("h", "vec", "vec_id").orderBy("row"))
+    near = F.dense_rank().over(Window.partitionBy("h", "vec").orderBy("vec_id"))
+    few = rows.withColumn("x", same).where(F.col("x") <= k).withColumn("x", near).where(F.col("x") <= k + 1)
+
+    def rounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d in batch["d"].unique():
+                part = batch[batch["d"] == d]
+                x = quantised(np.vstack(part["vec"].to_numpy()).astype(np.float64))
+                yield pd.DataFrame({"d": part["d"], "id": part["vec_id"], "row": part["row"], **{n: v for n, v in x.items() if n != "q"}, "q": [v.tobytes() for v in x["q"]]})
+
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        """Packs vectors of a length into blocks of about ``size``, named by a hash of the row."""
+        small = scratch.put(df.select("d", "vec_id", "vec", "row").mapInPandas(rounded, "d int, id long, row long, scale double, power long, norm double, error double, q binary"), f"{name}-int8")
+        number = small.groupBy("d").agg(F.ceil(F.count("*") / size).alias("n"))
+
+        def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("row")
+            x = {n: pdf[n].to_numpy() for n in ("scale", "power", "norm", "error", "row")}
+            return pd.DataFrame({"d": [int(pdf["d"].iloc[0])], name: [int(pdf[name].iloc[0])], "data": [dump(ids=pdf["id"].to_numpy(np.int64), q=np.frombuffer(b"".join(pdf["q"]), np.int8), **x)]})
+
+        keyed = small.join(number, "d").withColumn(name, F.pmod(F.xxhash64("row", F.lit(3)), F.col("n"))).drop("n")
+        return scratch.put(keyed.groupBy("d", name).applyInPandas(packed, f"d int, {name} long, data binary"), name)
+
+    asking, offered = blocks(rows.where("asks"), query_rows, "qb"), blocks(few, candidate_rows, "cb")
+    top = scratch.put(scratch.spark.read.parquet(scratch.path("cb-int8")).agg(F.max("power").alias("top")), "top").first()[0] or 0
+    # each query block is sent to every candidate block of its length, and each candidate block to every query block
+    numbers = lambda df, name: df.groupBy("d").agg(F.collect_set(name).alias("others"))
+    left = asking.join(numbers(offered, "cb"), "d").withColumn("cb", F.explode("others")).drop("others")
+    right = offered.join(numbers(asking, "qb"), "d").withColumn("qb", F.explode("others")).drop("others")
 
     def tiles(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        of = lambda x: (np.frombuffer(x["ids"].iloc[0], np.int64), np.frombuffer(x["data"].iloc[0], "<f8").reshape(-1, d))
-        i, j, s = tile_nearest(*of(a), *of(b), k)
-        return pd.DataFrame({"query_id": i, "vec_id": j, "score": s})
+            return pd.DataFrame({"asker": [], "row": [], "low": [], "high": []})
+        d = int(a["d"].iloc[0])
+        x, y = ({**v, "q": v["q"].reshape(-1, d)} for v in (load(a["data"].iloc[0]), load(b["data"].iloc[0])))
+        out = [(x["row"][i], y["row"][j], low, high) for i, j, low, high in tile_bounds(x, y, k, top)]
+        return pd.DataFrame({n: np.concatenate(v) for n, v in zip(("asker", "row", "low", "high"), zip(*out, strict=True), strict=True)})
 
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(tiles, "query_id long, vec_id long, score double")
+    found = left.groupBy("d", "qb", "cb").cogroup(right.groupBy("d", "qb", "cb")).applyInPandas(tiles, "asker long, row long, low double, high double")
 
     def heaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by query, so one heap is held at a time."""
-        at, heap = None, []
-        done = lambda: [(at, r, -v, s) for r, (s, v) in enumerate(sorted(heap, reverse=True), 1)]
+        """Rows come sorted by query; of the query at hand only what may still be among the k best is held."""
+        held = None
         for batch in batches:
-            out = []
-            for q, v, s in zip(batch["query_id"].tolist(), batch["vec_id"].tolist(), batch["score"].tolist(), strict=True):
-                if q != at:
-                    out += done()
-                    at, heap = q, []
-                (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (s, -v))
-            yield pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
-        yield pd.DataFrame(done(), columns=["query_id", "rank", "vec_id", "score"])
-
-    return found.repartition("query_id").sortWithinPartitions("query_id").mapInPandas(heaps, "query_id long, rank int, vec_id long, score double")
+            batch = batch if held is None else pd.concat([held, batch])
+            asker, low, high = (batch[n].to_numpy() for n in ("asker", "low", "high"))
+            order = np.lexsort((-low, asker))
+            start = np.concatenate(([True], np.diff(asker[order]) != 0))
+            first = np.flatnonzero(start)
+            size = np.diff(np.append(first, len(order)))
+            kth = np.where(size >= k, low[order[np.minimum(first + k - 1, len(order) - 1)]], -np.inf)
+            floor = np.empty(len(order))
+            floor[order] = np.repeat(kth, size)
+            batch = batch[high >= floor]
+            last = batch["asker"] == asker[-1]
+            held = batch[last]
+            yield batch[~last][["asker", "row"]]
+        if held is not None:
+            yield held[["asker", "row"]]
+
+    pairs = scratch.put(found.repartition("asker").sortWithinPartitions("asker").mapInPandas(heaps, "asker long, row long"), "pairs")
+    asked = rows.select(F.col("row").alias("asker"), F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
+    score = F.aggregate(F.zip_with("q", "vec", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    scored = pairs.join(rows.select("row", "vec_id", "vec"), "row").join(asked, "asker").select("asker", "query_id", "vec_id", "row", score.alias("score")).where(~F.isnan("score"))
+    rank = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", "row"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows.select("vec_id", F.col("embedding").alias("vec")), spark, F.col("vec_id") % 20 == 0)
+
+
+OP6_SQL = """
+WITH good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v) AS score
+  FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""

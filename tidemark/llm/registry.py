@@ -10,7 +10,7 @@ from .common import ships_package
 from .katz import op1_katz
 from .kdshards import op9_kdshards
 from .mixing import OP8_SQL, op8_mix
-from .neighbours import op6_nearest
+from .neighbours import OP6_SQL, op6_nearest
 from .simhash import op2_simhash
 from .suffixes import op3_suffixes
 from .templates import op7_templates
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix": OP8_SQL}
+    return {"op6_nearest": OP6_SQL, "op8_mix": OP8_SQL}
