@@ -47,7 +47,7 @@ def quantised(m: np.ndarray) -> dict[str, np.ndarray]:
     return {"q": q, "scale": scale, "power": power, "norm": np.sqrt((back * back).sum(axis=1)), "error": np.sqrt(((unit - back) ** 2).sum(axis=1))}
 
 
-def tile_bounds(a: dict[str, np.ndarray], b: dict[str, np.ndarray], k: int, top: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def tile_bounds(a: dict[str, np.ndarray], b: dict[str, np.ndarray], k: int, top: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(row of a, row of b, lower and upper bound) of all that may be among the k best of a row of ``a``.
 
     Bounds are inner products over 2 ** (``top`` + the query's power).
@@ -56,6 +56,7 @@ def tile_bounds(a: dict[str, np.ndarray], b: dict[str, np.ndarray], k: int, top:
     kind = np.float32 if d * 127 * 127 < 1 << 24 else np.float64  # sums of products of int8 are exact in it
     right = b["q"].astype(kind).T
     lift = np.ldexp(1.0, b["power"] - top)
+    rows = max(1, 1_000_000 // len(b["ids"]))  # some MB at a time
     for s in range(0, len(a["ids"]), rows):
         x = {n: v[s : s + rows] for n, v in a.items()}
         dots = (x["q"].astype(kind) @ right).astype(np.float64) * x["scale"][:, None] * b["scale"]
@@ -72,8 +73,11 @@ def tile_bounds(a: dict[str, np.ndarray], b: dict[str, np.ndarray], k: int, top:
         yield s + i, j, low[i, j], high[i, j]
 
 
-def nearest(vectors: DataFrame, spark: SparkSession, is_query: Column, k: int = 20, query_rows: int = 2048, candidate_rows: int = 4096) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows of ``vectors`` (vec_id, vec) that ``is_query`` marks."""
+def nearest(vectors: DataFrame, spark: SparkSession, is_query: Column, k: int = 20, query_rows: int = 1024, candidate_rows: int = 32768, block_bytes: int = 32_000_000) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows of ``vectors`` (vec_id, vec) that ``is_query`` marks.
+
+    A tile gives some k rows for each of its queries, so the more candidates a block has, the fewer rows there are.
+    """
     scratch = Scratch(spark)
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec")).where(F.col("vec_id").isNotNull() & _usable(F.col("vec")))
     rows = scratch.put(usable.select("vec_id", "vec", F.size("vec").alias("d"), is_query.alias("asks"), F.xxhash64("vec").alias("h"), F.monotonically_increasing_id().alias("row")), "rows")
@@ -89,9 +93,9 @@ def nearest(vectors: DataFrame, spark: SparkSession, is_query: Column, k: int =
                 yield pd.DataFrame({"d": part["d"], "id": part["vec_id"], "row": part["row"], **{n: v for n, v in x.items() if n != "q"}, "q": [v.tobytes() for v in x["q"]]})
 
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-        """Packs vectors of a length into blocks of about ``size``, named by a hash of the row."""
+        """Packs vectors of a length into blocks of about ``size``, and at most about ``block_bytes``, named by a hash of the row."""
         small = scratch.put(df.select("d", "vec_id", "vec", "row").mapInPandas(rounded, "d int, id long, row long, scale double, power long, norm double, error double, q binary"), f"{name}-int8")
-        number = small.groupBy("d").agg(F.ceil(F.count("*") / size).alias("n"))
+        number = small.groupBy("d").agg(F.count("*").alias("n")).select("d", F.ceil(F.col("n") / F.least(F.lit(size), F.greatest(F.lit(1), F.floor(F.lit(block_bytes) / F.col("d"))))).alias("n"))
 
         def packed(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("row")
