@@ -18,7 +18,7 @@ from tidemark.functions.sid import combine_sid
 from tidemark.operators import accuracy, estimator, joingraph, samplers, statistics
 from tidemark.plans import benchmark as bench
 from tidemark.plans import sqlfront
-from tidemark.plans.progressive import multi, single
+from tidemark.plans.progressive import multi, multi_weighted, run, single, weighted_paths
 from tidemark.plans.service import QueryService, serve
 from tidemark.plans.spec import Agg, AggQuery, Params, exact
 from tidemark.sources import tables as T
@@ -193,21 +193,83 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_read_what_they_drew(spark, tmp_path):
+    t = T.lay_out(T.with_partition(T.load_table(spark, SF, "orders"), "orders", 4), str(tmp_path / "orders"))
+    assert T.partition_ids(spark, str(tmp_path / "orders")) == [0, 1, 2, 3] and T.sub_directories(spark, str(tmp_path)) == ["orders"]
+    scan = plan(t.where("pid = 2"))
+    assert "PartitionFilters: [isnotnull(pid" in scan
+    assert rows(t.where("pid = 2")) == rows(T.with_partition(T.load_table(spark, SF, "orders"), "orders", 4).where("pid = 2"))
+
+
+def test_an_estimate_is_one_scan(spark):
+    for name in ("estimate_single", "estimate_join"):
+        text = plan(registry.queries()[name](spark, SF))
+        initial = text.split("Initial Plan")[-1]
+        assert initial.count("FileScan parquet") == {"estimate_single": 1, "estimate_join": 2}[name]
+        if name == "estimate_single":
+            assert initial.count("Exchange") <= 4
+
+
+def test_weighted_paths_and_dispatch(spark):
+    both = {n: T.with_partition(T.load_table(spark, SF, n), n, 4) for n in ("customer", "orders", "lineitem")}
+    two = {n: both[n] for n in ("orders", "lineitem")}
+    for weights in ("uniform", "size", "groups", "zscore"):
+        got = weighted_paths(bench.Q2, two, weights).collect()
+        assert {(r.p0, r.p1) for r in got} == {(i, i) for i in range(4)} and all(r.weight >= 0 for r in got)
+    *_, last = multi_weighted(bench.Q2, two, Params(error_tol=0, mode="corrected"), "groups")
+    assert sorted(last.read) == [(i, i) for i in range(4)] and last.scale == 1
+    want = {(r.l_linestatus, r.o_orderpriority): r.sum_revenue for r in exact(bench.Q2, both).collect()}
+    assert all(r.est == pytest.approx(want[r.l_linestatus, r.o_orderpriority], rel=1e-9) for r in last.estimates.collect())
+    one = list(run(spark, "select l_linestatus, count(*) as n from lineitem group by l_linestatus", both, range(4), Params(error_tol=0, max_iterations=4)))
+    assert [s.step for s in one] == [1, 2, 3, 4]
+    assert {r.est for r in one[-1].estimates.collect()} == {float(r.n) for r in both["lineitem"].groupBy("l_linestatus").agg(F.count("*").alias("n")).collect()}
+    paths = joingraph.paths([joingraph.edges(both["orders"], both["lineitem"])])
+    drawn = {tuple(r) for r in joingraph.random_paths(paths, 5).collect()}
+    assert len(drawn) == 5 and drawn == {tuple(r) for r in joingraph.random_paths(paths.repartition(3), 5).collect()}
+
+
+def test_stored_statistics(spark, tmp_path):
+    t = T.with_partition(T.load_table(spark, SF, "orders"), "orders", 4)
+    c = T.with_partition(T.load_table(spark, SF, "customer"), "customer", 4)
+    for _ in range(2):
+        statistics.store_statistics({"orders": t, "customer": c}, {"orders": ["o_custkey"], "customer": ["c_custkey"]}, str(tmp_path))
+    assert T.sub_directories(spark, str(tmp_path)) == ["customer", "orders"] and T.sub_directories(spark, str(tmp_path / "orders")) == ["o_custkey"]
+    assert rows(statistics.load_statistics(spark, str(tmp_path), "orders", "o_custkey")) == rows(statistics.partition_statistics(t, "o_custkey"))
+    sketches = [statistics.load_sketch(spark, str(tmp_path), *x) for x in (("customer", "c_custkey"), ("orders", "o_custkey"))]
+    sizes = statistics.sketch_join_size(*sketches)
+    assert rows(sizes) == rows(statistics.sketch_join_size(statistics.count_min(c, "c_custkey"), statistics.count_min(t, "o_custkey")))
+    assert statistics.sketch_shape(0.001, 0.01) == (2719, 5)
+    hot = t.withColumn("v", F.when(F.col("o_orderkey") % 2 == 0, 7).otherwise(F.col("o_orderkey")))
+    assert {r.value for r in statistics.heavy_hitters(hot, "v", 0.2).collect()} == {7}
+    query = AggQuery(("customer", "orders"), (Agg("count", "*", "n"),), (bench.CUSTOMER_ORDER,))
+    *_, last = multi_weighted(query, {"customer": c, "orders": t}, Params(error_tol=0, max_iterations=99, mode="corrected"), "uniform", [sizes])
+    assert last.estimates.first().est == exact(query, {"customer": c, "orders": t}).first()[0]
+
+
 def test_service(spark):
-    t = T.with_partition(T.load_table(spark, SF, "lineitem"), "lineitem", 4)
-    schemas = {n: list(x) for n, x in T.TYPES.items()}
-    service = QueryService(lambda sql: single(sqlfront.parse(spark, sql, schemas), t, "lineitem", range(4), Params(error_tol=0)))
+    t = {n: T.with_partition(T.load_table(spark, SF, n), n, 4) for n in ("customer", "orders", "lineitem")}
+    service = QueryService(lambda sql: run(spark, sql, t, range(4), Params(error_tol=0, mode="corrected")), keep=2)
     server = serve(service, 0)
     url = f"http://127.0.0.1:{server.server_address[1]}"
     try:
-        body = json.dumps({"query": "select l_linestatus, sum(l_quantity) as q from lineitem group by l_linestatus"}).encode()
-        qid = json.load(urllib.request.urlopen(urllib.request.Request(f"{url}/StartQuery", body)))["qID"]
-        for _ in range(200):
-            got = json.load(urllib.request.urlopen(f"{url}/GetQueryResult?qID={qid}"))
-            if got["state"] != "running":
-                break
-            time.sleep(0.2)
-        assert got["state"] == "done" and got["step"] == 3 and "(q,F)" in got["result"]
+        for sql, steps, key in (
+            ("select l_linestatus, sum(l_quantity) as q from lineitem group by l_linestatus", 3, "(q,F)"),
+            ("select o_orderstatus, sum(l_quantity) as q from orders join lineitem on o_orderkey = l_orderkey group by o_orderstatus", 4, "(q,F)"),
+            ("select max(l_tax) m from lineitem", 0, None),
+        ):
+            body = json.dumps({"query": sql}).encode()
+            qid = json.load(urllib.request.urlopen(urllib.request.Request(f"{url}/StartQuery", body)))["qID"]
+            for _ in range(400):
+                got = json.load(urllib.request.urlopen(f"{url}/GetQueryResult?qID={qid}"))
+                if got["state"] != "running":
+                    break
+                time.sleep(0.2)
+            assert got["step"] == steps and (got["state"] == "done" and key in got["result"] if key else got["state"].startswith("failed"))
+        assert len(service._store) == 2
         with pytest.raises(urllib.error.HTTPError):
             urllib.request.urlopen(f"{url}/GetQueryResult?qID=none")
     finally:

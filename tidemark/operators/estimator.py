@@ -55,58 +55,51 @@ def with_bounds(df: DataFrame) -> DataFrame:
     return df.withColumn("error", F.when(middle != 0, (F.col("ci_high") - F.col("ci_low")) / 2 / middle * 100))
 
 
-def reference(parts: DataFrame, query: AggQuery, sf: float = 1.0, alpha: float = 0.05) -> DataFrame:
-    """``n`` is the number of partial rows; the interval shrinks with its fourth root."""
-    n = parts.agg(F.count("*").cast("double").alias("n"))
-    out = []
+def _long(parts: DataFrame, query: AggQuery, by: str) -> DataFrame:
+    """A row for each aggregate, group and value of ``by``: agg, is_avg, x (its value), s and c (sum and count); one pass for all aggregates."""
+    cells = []
     for a in query.aggs:
-        x = parts.select(*query.groups, "sid", _value(a).alias("x"), (F.col(f"{a.alias}__s") if a.func == "sum" else F.col(f"{a.alias}__c")).alias("t"))
-        if a.func == "avg":
-            total = F.sum(F.col("x").cast("decimal(28,6)")).cast("double") / F.count("x")
-        else:
-            total = F.sum("t").cast("double") * sf
-        est = x.groupBy(*query.groups).agg(total.alias("est"))
-        near = _on_groups(x, est, query.groups).withColumn("d", F.when(F.col("sid") > 0, F.col("x") - F.col("est")))
-        q = near.groupBy(*query.groups, "est").agg(quantile("d", alpha).alias("lo"), quantile("d", 1 - alpha).alias("hi"))
-        factor = F.sqrt(F.sqrt("n") / F.col("n"))
-        bounds = q.join(F.broadcast(n))  # one row
-        out.append(bounds.select(F.lit(a.alias).alias("agg"), *query.groups, "est", (F.col("est") - F.col("hi") * factor).alias("ci_low"), (F.col("est") - F.col("lo") * factor).alias("ci_high")))
-    return with_bounds(reduce(DataFrame.unionByName, out))
-
-
-def _on_groups(left: DataFrame, right: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """An inner join on groups, null equal to null."""
-    named = right.select(*(F.col(g).alias(f"{g}__r") for g in groups), *(c for c in right.columns if c not in groups))
-    on = reduce(lambda c, g: c & F.col(g).eqNullSafe(F.col(f"{g}__r")), groups, F.lit(True))
-    return left.join(named, on).drop(*(f"{g}__r" for g in groups)) if groups else left.join(F.broadcast(right))  # without groups, one row
+        c = F.col(f"{a.alias}__c")
+        s = c.cast("decimal(38,4)") if a.func == "count" else F.col(f"{a.alias}__s")
+        cells.append(F.struct(F.lit(a.alias).alias("agg"), F.lit(a.func == "avg").alias("is_avg"), _value(a).alias("x"), s.alias("s"), c.alias("c")))
+    return parts.select(*query.groups, by, F.inline(F.array(*cells)))
+
+
+def _pick(values: Column, q: float) -> Column:
+    """The element number ceil(q n) of a sorted array; null if it is empty."""
+    n = F.size(values)
+    return F.when(n > 0, F.get(values, F.greatest(F.lit(1), F.ceil(F.round(n * F.lit(q), 9))).cast("int") - 1))
+
+
+def reference(parts: DataFrame, query: AggQuery, sf: float = 1.0, alpha: float = 0.05) -> DataFrame:
+    """The number n of partial rows counts: the interval shrinks with its fourth root. Arrays hold a value for each subsample."""
+    rows = _long(parts, query, "sid").groupBy("agg", "is_avg", *query.groups).agg(
+        (F.sum(F.col("x").cast("decimal(28,6)")).cast("double") / F.count("x")).alias("mean"),
+        (F.sum("s").cast("double") * sf).alias("total"),
+        F.count("*").alias("rows"),
+        F.sort_array(F.collect_list(F.when(F.col("sid") > 0, F.col("x")))).alias("xs"),
+    )
+    n = F.sum("rows").over(Window.partitionBy("agg")).cast("double")
+    found = rows.withColumn("est", F.when(F.col("is_avg"), F.col("mean")).otherwise(F.col("total"))).withColumn("factor", F.sqrt(F.sqrt(n) / n))
+    side = lambda q: F.col("est") - (_pick(F.col("xs"), q) - F.col("est")) * F.col("factor")
+    return with_bounds(found.select("agg", *query.groups, "est", side(1 - alpha).alias("ci_low"), side(alpha).alias("ci_high")))
 
 
 def corrected(parts: DataFrame, query: AggQuery, read: DataFrame, sf: float = 1.0, alpha: float = 0.05, b: int = 100, complete: bool = False) -> DataFrame:
     """``read``: (sid, m), tuples read before filters. If all is read the interval is the estimate."""
-    sizes = read.select("sid", F.col("m").cast("double").alias("m"))
-    n = sizes.agg(F.sum("m").alias("n"))
-    out = []
-    for a in query.aggs:
-        s = F.col(f"{a.alias}__s") if a.func != "count" else F.col(f"{a.alias}__c").cast("decimal(38,4)")
-        x = parts.select(*query.groups, "sid", s.alias("s"), F.col(f"{a.alias}__c").alias("c"))
-        total = F.sum("s").cast("double") / F.sum("c") if a.func == "avg" else F.sum("s").cast("double") * sf
-        est = x.groupBy(*query.groups).agg(total.alias("est"), F.sum("c").cast("double").alias("n_own"))
-        if a.func == "avg":
-            near = _on_groups(x.where("sid > 0 and c > 0"), est, query.groups).select(*query.groups, "est", (F.sqrt(F.col("c").cast("double")) * (F.col("s").cast("double") / F.col("c") - F.col("est"))).alias("d"), F.col("n_own").alias("n"))
-        else:
-            every = est.withColumn("sid", F.explode(F.sequence(F.lit(1), F.lit(b)))).join(F.broadcast(sizes), "sid").join(F.broadcast(n))  # b rows and one row
-            own = [F.col(f"{g}") for g in query.groups]
-            mine = x.select(*(c.alias(f"{g}__r") for c, g in zip(own, query.groups, strict=True)), F.col("sid").alias("sid__r"), F.col("s").cast("double").alias("v"))
-            on = reduce(lambda c, g: c & F.col(g).eqNullSafe(F.col(f"{g}__r")), query.groups, F.col("sid") == F.col("sid__r"))
-            g = F.coalesce("v", F.lit(0.0)) * (F.col("n") / F.col("m")) * sf
-            near = every.join(mine, on, "left").select(*query.groups, "est", (F.sqrt("m") * (g - F.col("est"))).alias("d"), "n")
-        q = near.groupBy(*query.groups, "est", "n").agg(quantile("d", alpha / 2).alias("lo"), quantile("d", 1 - alpha / 2).alias("hi"))
-        root = F.sqrt("n")
-        low, high = F.col("est") - F.col("hi") / root, F.col("est") - F.col("lo") / root
-        if complete:
-            low = high = F.col("est")
-        out.append(q.select(F.lit(a.alias).alias("agg"), *query.groups, "est", low.alias("ci_low"), high.alias("ci_high")))
-    return with_bounds(reduce(DataFrame.unionByName, out))
+    sizes = read.agg(F.sum("m").cast("double").alias("n_read"), F.filter(F.collect_list(F.struct(F.col("sid"), F.col("m").cast("double").alias("m"))), lambda e: (e["sid"] > 0) & (e["sid"] <= b)).alias("sizes"))
+    rows = _long(parts, query, "sid").groupBy("agg", "is_avg", *query.groups).agg(
+        F.sum("s").cast("double").alias("s_all"),
+        F.sum("c").cast("double").alias("c_all"),
+        F.filter(F.collect_list(F.struct("sid", F.col("s").cast("double").alias("s"), F.col("c").cast("double").alias("c"))), lambda e: e["sid"] > 0).alias("own"),
+    )
+    every = rows.join(F.broadcast(sizes)).withColumn("est", F.when(F.col("is_avg"), F.col("s_all") / F.col("c_all")).otherwise(F.col("s_all") * sf))  # one row of at most b + 1 sizes
+    of_mean = F.transform(F.filter("own", lambda e: e["c"] > 0), lambda e: F.sqrt(e["c"]) * (e["s"] / e["c"] - F.col("est")))
+    sums = F.map_from_entries(F.transform("own", lambda e: F.struct(e["sid"], e["s"])))
+    of_total = F.transform("sizes", lambda e: F.sqrt(e["m"]) * (F.coalesce(F.try_element_at(sums, e["sid"]), F.lit(0.0)) * (F.col("n_read") / e["m"]) * sf - F.col("est")))
+    found = every.withColumn("d", F.sort_array(F.when(F.col("is_avg"), of_mean).otherwise(of_total))).withColumn("root", F.sqrt(F.when(F.col("is_avg"), F.col("c_all")).otherwise(F.col("n_read"))))
+    side = lambda q: F.col("est") if complete else F.col("est") - _pick(F.col("d"), q) / F.col("root")
+    return with_bounds(found.select("agg", *query.groups, "est", side(1 - alpha / 2).alias("ci_low"), side(alpha / 2).alias("ci_high")))
 
 
 def t_quantile(p: float, df: int) -> float:
@@ -130,32 +123,19 @@ def t_quantile(p: float, df: int) -> float:
 
 
 def cluster(parts: DataFrame, query: AggQuery, read: int, total: int, alpha: float = 0.1) -> DataFrame:
-    """``parts`` by ``pid``; ``read`` of ``total`` partitions drawn with equal chances."""
+    """``parts`` by ``pid``; ``read`` of ``total`` partitions drawn with equal chances. Partitions without the group count as 0."""
     k, half = read, t_quantile(1 - alpha / 2, read - 1) if read > 1 else None
     fpc = math.sqrt(max(0.0, 1 - k / total))
-    w = Window.partitionBy(*query.groups) if query.groups else Window.partitionBy(F.lit(0))
-    out = []
-    for a in query.aggs:
-        s = F.col(f"{a.alias}__s") if a.func != "count" else F.col(f"{a.alias}__c")
-        x = parts.select(*query.groups, s.cast("double").alias("t"), F.col(f"{a.alias}__c").cast("double").alias("c"))
-        if a.func == "avg":
-            est = F.sum("t").over(w) / F.sum("c").over(w)
-            rows = x.withColumn("est", est).withColumn("r", F.col("t") - F.col("est") * F.col("c"))
-            agg = rows.groupBy(*query.groups).agg(F.max("est").alias("est"), F.sum("r").alias("r"), F.sum(F.col("r") * F.col("r")).alias("q"), F.sum("c").alias("c"))
-            scale = 1 / (F.col("c") / k)
-        else:
-            agg = x.groupBy(*query.groups).agg((total * (F.sum("t") / k)).alias("est"), F.sum("t").alias("r"), F.sum(F.col("t") * F.col("t")).alias("q"))
-            scale = F.lit(float(total))
-        # partitions without the group count as 0
-        deviation = F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("r") * F.col("r") / k) / (k - 1))) if k > 1 else F.lit(None).cast("double")
-        width = F.lit(half) * scale * fpc * deviation / math.sqrt(k)
-        out.append(agg.select(F.lit(a.alias).alias("agg"), *query.groups, "est", (F.col("est") - width).alias("ci_low"), (F.col("est") + width).alias("ci_high")))
-    return with_bounds(reduce(DataFrame.unionByName, out))
-
-
-def rounded(estimates: DataFrame) -> DataFrame:
-    """For display: two places, the error ten, half up."""
-    return estimates.withColumns({c: F.round(c, 2) for c in ("est", "ci_low", "ci_high")} | {"error": F.round("error", 10)})
+    number = lambda c: F.col(c).cast("double")
+    rows = _long(parts, query, "pid").groupBy("agg", "is_avg", *query.groups).agg(F.sum(number("s")).alias("t"), F.sum(number("c")).alias("c_all"), F.collect_list(F.struct(number("s").alias("s"), number("c").alias("c"))).alias("own"))
+    found = rows.withColumn("est", F.when(F.col("is_avg"), F.col("t") / F.col("c_all")).otherwise(total * (F.col("t") / k)))
+    found = found.withColumn("r", F.transform("own", lambda e: e["s"] - F.when(F.col("is_avg"), F.col("est") * e["c"]).otherwise(0.0)))
+    add = lambda f: F.aggregate("r", F.lit(0.0), lambda x, y: x + f(y))
+    whole = add(lambda y: y)
+    deviation = F.sqrt(F.greatest(F.lit(0.0), (add(lambda y: y * y) - whole * whole / k) / (k - 1))) if k > 1 else F.lit(None).cast("double")
+    scale = F.when(F.col("is_avg"), 1 / (F.col("c_all") / k)).otherwise(float(total))
+    width = F.lit(half) * scale * fpc * deviation / math.sqrt(k)
+    return with_bounds(found.select("agg", *query.groups, "est", (F.col("est") - width).alias("ci_low"), (F.col("est") + width).alias("ci_high")))
 
 
 def scale_by_choices(choices: Sequence[tuple[str, str]], i: int) -> float:

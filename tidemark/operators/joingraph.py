@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.samplers import weighted_order
+
 
 def edges(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_pid, right_pid): every partition of one table with every one of the next; manifests, not rows."""
@@ -42,8 +44,14 @@ def live_paths(sized: DataFrame, hops: int) -> DataFrame:
     return sized.where(F.least(*(F.col(f"s{k}") for k in range(hops))) > 0 if hops > 1 else F.col("s0") > 0).withColumn("weight", F.lit(1.0))
 
 
+def _ranged(df: DataFrame, *columns: str) -> DataFrame:
+    """Adds the least and greatest value of columns, from an aggregate of one row."""
+    ends = df.agg(*(f(c).alias(f"{c}__{n}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))))
+    return df.join(F.broadcast(ends))  # one row
+
+
 def _norm(c: str):
-    lo, hi = F.min(c).over(Window.partitionBy()), F.max(c).over(Window.partitionBy())  # one row for each path
+    lo, hi = F.col(f"{c}__lo"), F.col(f"{c}__hi")
     return F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(0.0)
 
 
@@ -58,7 +66,7 @@ def weight_by_size(sized: DataFrame, hops: int, middle: DataFrame, at: int = 1)
     groups = middle.select(F.col("pid").alias(f"p{at}"), F.col("count_unique").cast("double").alias("n_groups"))
     both = sized.withColumn("size", product).join(groups, f"p{at}")
     weight = F.when((F.col("size") > 0) & (F.col("n_groups") > 0), 0.5 * _norm("size") + 0.5 * _norm("n_groups")).otherwise(0.0)
-    return both.withColumn("weight", weight)
+    return _ranged(both, "size", "n_groups").withColumn("weight", weight).drop(*(f"{c}__{e}" for c in ("size", "n_groups") for e in ("lo", "hi")))
 
 
 def weight_by_groups(all_paths: DataFrame, middle: DataFrame, at: int = 1) -> DataFrame:
@@ -73,10 +81,34 @@ def weight_by_zscore(all_paths: DataFrame, stats: Sequence[DataFrame]) -> DataFr
     for k in range(len(stats) - 1):
         both = F.col(f"e{k}") + F.col(f"e{k + 1}")
         z = z + F.when(both > 0, F.abs(F.col(f"m{k}") - F.col(f"m{k + 1}")) / F.sqrt(both)).otherwise(0.0)
-    return out.withColumn("z", z).withColumn("weight", 0.5 * (1 - _norm("z")) + 0.5)
+    return _ranged(out.withColumn("z", z), "z").withColumn("weight", 0.5 * (1 - _norm("z")) + 0.5).drop("z__lo", "z__hi")
+
+
+def path_columns(df: DataFrame) -> list[str]:
+    return sorted((c for c in df.columns if c[0] == "p" and c[1:].isdigit()), key=lambda c: int(c[1:]))
 
 
 def rank_paths(weighted: DataFrame, k: int) -> DataFrame:
     """The k heaviest paths, ties by partition ids."""
-    ids = sorted(c for c in weighted.columns if c[0] == "p" and c[1:].isdigit())
-    return weighted.orderBy(F.desc("weight"), *ids).limit(k)
+    return weighted.orderBy(F.desc("weight"), *path_columns(weighted)).limit(k)
+
+
+def draw_paths(weighted: DataFrame, k: int, seed: int = 2) -> DataFrame:
+    """k paths by weight without replacement, in the order drawn (``draw`` ascending); paths of weight 0 never."""
+    ids = path_columns(weighted)
+    key = F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in ids))
+    return weighted_order(weighted, key, "weight").orderBy("draw", *ids).limit(k).select(*ids, "draw")
+
+
+def random_paths(all_paths: DataFrame, k: int = 20, seed: int = 2) -> DataFrame:
+    """k paths with equal chances, without replacement."""
+    return draw_paths(all_paths.withColumn("weight", F.lit(1.0)), k, seed).drop("draw")
+
+
+def paths_of_sizes(sizes: Sequence[DataFrame]) -> DataFrame:
+    """Live paths with s0, s1, ..., built of the hops that join something; paths that do not are never made."""
+    out = None
+    for k, size in enumerate(sizes):
+        hop = size.where("join_size > 0").select(F.col("left_pid").alias(f"p{k}"), F.col("right_pid").alias(f"p{k + 1}"), F.col("join_size").cast("long").alias(f"s{k}"))
+        out = hop if out is None else out.join(hop, f"p{k}")
+    return out.select(*(f"p{k}" for k in range(len(sizes) + 1)), *(f"s{k}" for k in range(len(sizes))))

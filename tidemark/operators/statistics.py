@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import md5_bits
@@ -24,13 +27,31 @@ def partition_statistics(df: DataFrame, column: str) -> DataFrame:
     return sums.select("pid", F.coalesce(mean, F.lit(0.0)).alias("mean"), F.when(F.col("n") > 0, F.sqrt(variance) / F.sqrt("n")).alias("std_error"), "count_unique")
 
 
-def count_min(df: DataFrame, column: str, width: int, depth: int = DEPTH, share: float = 1.0) -> DataFrame:
-    """A count-min sketch of each partition in long form: (pid, depth, cell, n)."""
+def count_min(df: DataFrame, column: str, width: int = 4096, depth: int = DEPTH, share: float = 1.0) -> DataFrame:
+    """A count-min sketch of each partition in long form: (pid, depth, cell, n).
+
+    Both halves of a key's MD5 make the cells of all depths. A cell overestimates by more than e / width of the rows
+    with a chance of e ** -depth at most.
+    """
     rows = df.where(F.col(column).isNotNull())
     if share < 1:
         rows = rows.sample(share, 1)
-    cells = F.array(*(F.struct(F.lit(d).alias("depth"), F.pmod(F.xxhash64(F.lit(d), F.col(column).cast("string")), F.lit(width)).alias("cell")) for d in range(depth)))
-    return rows.select("pid", F.explode(cells).alias("x")).groupBy("pid", "x.depth", "x.cell").agg(F.count("*").alias("n"))
+    a, b = F.col("a"), F.col("b")
+    cells = F.array(*(F.struct(F.lit(d).alias("depth"), F.pmod(a + d * b, F.lit(width)).alias("cell")) for d in range(depth)))
+    hashed = rows.select("pid", md5_bits(F.col(column)).alias("a"), md5_bits(F.col(column), 1).alias("b"))
+    return hashed.select("pid", F.inline(cells)).groupBy("pid", "depth", "cell").agg(F.count("*").alias("n"))
+
+
+def sketch_shape(eps: float, delta: float) -> tuple[int, int]:
+    """Width and depth for an error of at most ``eps`` of the rows with a chance of at least 1 - ``delta``."""
+    return math.ceil(math.e / eps), max(1, math.ceil(math.log(1 / delta)))
+
+
+def heavy_hitters(df: DataFrame, column: str, share: float) -> DataFrame:
+    """(pid, value, n): values that make at least ``share`` of a partition's rows, exact."""
+    counts = df.where(F.col(column).isNotNull()).groupBy("pid", F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    rows = counts.groupBy("pid").agg(F.sum("n").alias("rows"))
+    return counts.join(rows, "pid").where(F.col("n") >= F.col("rows") * share).drop("rows")
 
 
 def sketch_join_size(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -48,3 +69,20 @@ def exact_join_size(left: DataFrame, left_key: str, right: DataFrame, right_key:
     a = left.groupBy(F.col("pid").alias("left_pid"), F.col(left_key).alias("k")).agg(F.count("*").alias("ln"))
     b = right.groupBy(F.col("pid").alias("right_pid"), F.col(right_key).alias("k")).agg(F.count("*").alias("rn"))
     return a.join(b, "k").groupBy("left_pid", "right_pid").agg(F.sum(F.col("ln") * F.col("rn")).alias("join_size"))
+
+
+def store_statistics(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]], root: str, width: int = 4096) -> None:
+    """Writes each table's statistics and sketches to ``root``/<table>/<column>; a rerun replaces them."""
+    for name, df in tables.items():
+        for column in columns.get(name, ()):
+            partition_statistics(df, column).write.mode("overwrite").parquet(f"{root}/{name}/{column}/statistics")
+            count_min(df, column, width).write.mode("overwrite").partitionBy("pid").parquet(f"{root}/{name}/{column}/sketch")
+
+
+def load_statistics(spark: SparkSession, root: str, name: str, column: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}/{column}/statistics")
+
+
+def load_sketch(spark: SparkSession, root: str, name: str, column: str) -> DataFrame:
+    """One table's sketches; those of a partition are files of their own."""
+    return spark.read.schema("depth int, cell long, n long, pid int").parquet(f"{root}/{name}/{column}/sketch")

@@ -18,9 +18,10 @@ from tidemark.plans.progressive import StepResult
 
 
 class QueryService:
-    """``start`` makes the steps of a query text."""
+    """``start`` makes the steps of a query text; results of the last ``keep`` queries that ended are kept."""
 
-    def __init__(self, start: Callable[[str], Iterator[StepResult]], workers: int = 4):
+    def __init__(self, start: Callable[[str], Iterator[StepResult]], workers: int = 4, keep: int = 1000):
+        self._keep = keep
         self._start, self._pool, self._lock = start, ThreadPoolExecutor(workers), threading.Lock()
         self._store: dict[str, dict] = {}
 
@@ -48,6 +49,9 @@ class QueryService:
             state = f"failed: {e}"
         with self._lock:
             self._store[qid]["state"] = state
+            ended = [q for q, x in self._store.items() if x["state"] != "running"]
+            for q in ended[: max(0, len(ended) - self._keep)]:
+                del self._store[q]
 
     def poll(self, qid: str) -> dict | None:
         with self._lock:

@@ -48,7 +48,7 @@ class Params:
     b: int = 100
     alpha: float = 0.05
     share: float = 0.1
-    max_iterations: int = 3
+    max_iterations: int | None = None
     mode: str = "cluster"
     seed: int = 2
 

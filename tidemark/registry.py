@@ -6,6 +6,9 @@ taken over decimals, so that they do not depend on the order of rows.
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +18,13 @@ from tidemark.functions.hashing import crc32_unit, java_hash, md5_unit, mult_uni
 from tidemark.functions.sid import assign_sid
 from tidemark.operators import accuracy, estimator, joingraph, samplers, statistics
 from tidemark.plans import benchmark as bench
-from tidemark.plans.progressive import all_steps, multi, path_join, single, with_join_sid
+from tidemark.plans.progressive import all_steps, multi, path_join, single, weighted_paths, with_join_sid
 from tidemark.plans.spec import Params, exact, filtered, joined
-from tidemark.sources.tables import PARTITIONS, load_table, load_views, partition_manifest, partitions_in_range, row_key, with_partition
+from tidemark.sources.tables import PARTITIONS, lay_out, load_table, load_views, partition_manifest, partitions_in_range, row_key, with_partition
 
 Query = Callable[[SparkSession, str], DataFrame]
 _DRAWN = (3, 1, 4)
-_PATHS = ((3, 3), (1, 1), (4, 4))
+_PATHS = ((3, 3), (1, 1), (4, 4), (0, 0), (6, 6))
 _B = 100
 
 
@@ -33,6 +36,25 @@ def _tables(spark: SparkSession, d: str, *names: str) -> dict[str, DataFrame]:
     return {n: _table(spark, d, n) for n in names}
 
 
+_laid: dict[tuple[str, str, str], str] = {}
+
+
+def _parted(spark: SparkSession, d: str, *names: str) -> dict[str, DataFrame]:
+    """Tables laid out by partition, once for each application, in the folder that driver and executors share."""
+    out = {}
+    for n in names:
+        at = (spark.sparkContext.applicationId, d, n)
+        if at not in _laid:
+            base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+            if not base:
+                alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+                base = tempfile.mkdtemp(prefix="tidemark-") if alone else spark.conf.get("spark.sql.warehouse.dir")
+            _laid[at] = f"{base}/parted-{uuid.uuid4().hex}"
+            lay_out(_table(spark, d, n), _laid[at])
+        out[n] = spark.read.schema(_table(spark, d, n).schema).parquet(_laid[at])
+    return out
+
+
 # ---- SQL: typed tables with row key, partition and subsample id ----
 
 
@@ -222,26 +244,36 @@ def _sql(text: str) -> Query:
 
 
 def _cluster(spark: SparkSession, d: str) -> DataFrame:
-    steps = single(bench.Q1, _table(spark, d, "lineitem"), "lineitem", range(PARTITIONS), Params(error_tol=0), _DRAWN)
+    steps = single(bench.Q1, _parted(spark, d, "lineitem")["lineitem"], "lineitem", range(PARTITIONS), Params(error_tol=0), _DRAWN)
     next(steps)  # one partition has no interval
     out = all_steps(steps)
     return out.select("agg", *bench.Q1.groups, *(F.round(c, 2).alias(c) for c in ("est", "ci_low", "ci_high")), "step")
 
 
 def _progressive_join(spark: SparkSession, d: str) -> DataFrame:
-    t = _tables(spark, d, "orders", "lineitem")
+    t = _parted(spark, d, "orders", "lineitem")
     return all_steps(multi(bench.Q2, t, _PATHS, PARTITIONS, Params(error_tol=0, b=_B, mode="reference")))
 
 
 def _true_error(spark: SparkSession, d: str) -> DataFrame:
     t = _tables(spark, d, "lineitem")
-    *_, last = single(bench.Q1, t["lineitem"], "lineitem", range(PARTITIONS), Params(error_tol=0), _DRAWN)
+    *_, last = single(bench.Q1, _parted(spark, d, "lineitem")["lineitem"], "lineitem", range(PARTITIONS), Params(error_tol=0), _DRAWN)
     found = accuracy.true_error(exact(bench.Q1, t), "sum_qty", last.estimates, "sum_qty", bench.Q1.groups)
     return found.select("n_groups", F.round("mean_error", 6).alias("mean_error"))
 
 
 def _path_rows(spark: SparkSession, d: str, path: tuple[int, int]) -> DataFrame:
-    return joined(bench.Q2, path_join(bench.Q2, _tables(spark, d, "orders", "lineitem"), path)).select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
+    return joined(bench.Q2, path_join(bench.Q2, _parted(spark, d, "orders", "lineitem"), path)).select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
+
+
+def _coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Partitions that hold the rows which the first three paths of a run have read, over all partitions."""
+    t = _parted(spark, d, "orders", "lineitem")
+    *_, last = multi(bench.Q2, t, _PATHS, PARTITIONS, Params(error_tol=0, b=_B, mode="reference", max_iterations=3))
+    drawn = lambda k, n: t[n].where(F.col("pid").isin(sorted({p[k] for p in last.read}))).select(F.col("pid").alias(f"p{k}")).distinct()
+    read = [drawn(k, n) for k, n in enumerate(bench.Q2.tables)]
+    both = read[0].unionByName(read[1], allowMissingColumns=True)
+    return accuracy.coverage(both, [PARTITIONS] * 2)
 
 
 def _dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -259,7 +291,7 @@ def queries() -> dict[str, Query]:
     key = "o_orderkey"
     return q | {
         "scan_tables": lambda s, d: load_table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_shipdate").cast("string").alias("l_shipdate")),
-        "partition_scan": lambda s, d: od(s, d).where("pid = 3").select("o_orderkey", "o_orderstatus"),
+        "partition_scan": lambda s, d: _parted(s, d, "orders")["orders"].where("pid = 3").select("o_orderkey", "o_orderstatus"),
         "partition_manifest": lambda s, d: partition_manifest(od(s, d), "o_orderkey"),
         "partition_prune": lambda s, d: partitions_in_range(partition_manifest(load_table(s, d, "orders").withColumn("pid", F.floor(F.col("o_orderkey") / 2000).cast("int")), "o_orderkey"), 2500, 6100),
         "exact_q5": _sql(bench.Q5_SQL),
@@ -288,16 +320,18 @@ def queries() -> dict[str, Query]:
         "quantile_disc": lambda s, d: load_table(s, d, "lineitem").groupBy("l_returnflag").agg(*(estimator.quantile("cast(l_extendedprice as double)", p).alias(n) for p, n in ((0.05, "q05"), (0.5, "q50"), (0.95, "q95")))),
         "scale_single": lambda s, d: estimator.reference(estimator.partials(_q1_rows(s, d).where("pid in (3, 1)"), bench.Q1), bench.Q1, PARTITIONS / 2).where("agg = 'count_order'").select("l_returnflag", "l_linestatus", "est"),
         "true_error": _true_error,
-        "coverage": lambda s, d: accuracy.coverage(_read_paths(s), [PARTITIONS] * 3),
+        "coverage": _coverage,
         "weighted_order": lambda s, d: samplers.weighted_order(load_table(s, d, "customer").withColumn("w", F.col("c_nationkey").cast("double")), F.col("c_custkey"), "w").select("c_custkey", F.round("draw", 6).alias("draw")),
         "live_paths": lambda s, d: joingraph.live_paths(_sized(s, d), 2),
         "path_weight": _path_weight,
         "path_weight_groups": lambda s, d: joingraph.weight_by_groups(_chain(s, d)[1], od(s, d).groupBy("pid").agg(F.count_distinct("o_orderdate").alias("count_unique"))),
         "path_zscore": _zscore,
+        "random_paths": lambda s, d: joingraph.random_paths(_chain(s, d)[1], 20),
+        "draw_paths": lambda s, d: joingraph.draw_paths(weighted_paths(bench.Q2, _parted(s, d, "orders", "lineitem"), "uniform"), 5).select("p0", "p1"),
         "rank_paths": lambda s, d: joingraph.rank_paths(_path_weight(s, d), 10),
         "progressive_single": _cluster,
         "progressive_join": _progressive_join,
-        "accumulate_partitions": lambda s, d: od(s, d).where("pid = 3").unionByName(od(s, d).where("pid = 1")).select("o_orderkey", "pid"),
+        "accumulate_partitions": lambda s, d: _parted(s, d, "orders")["orders"].where("pid in (3, 1)").select("o_orderkey", "pid"),
         "accumulate_paths": lambda s, d: _path_rows(s, d, (3, 3)).unionByName(_path_rows(s, d, (1, 1))),
         "accumulate_dedup": _dedup,
         "hash_md5_a": _hashed("h", lambda c: md5_unit(c), "double"),
@@ -331,9 +365,12 @@ def oracle_sql() -> dict[str, str]:
     q2 = f"(SELECT l_linestatus, o_orderpriority, l_extendedprice, l_discount, jsid AS sid FROM {oi_rows})"
     q2_agg = (("sum", _REVENUE, "sum_revenue"),)
     item = "SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus FROM"
+    word = lambda c, part: f"('0x' || substr(md5(CAST({c} AS VARCHAR)), {1 + 8 * part}, 8))::UBIGINT::BIGINT"
+    cells = lambda c, t: f"SELECT pid, CAST(depth AS INTEGER) AS depth, ({word(c, 0)} + depth * {word(c, 1)}) % 4096 AS cell FROM {t}, (SELECT unnest(range(5)) AS depth) WHERE {c} IS NOT NULL"
+    draw = lambda *ps: f"""-ln(({_unit("'2|' || " + " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in ps))} * 4294967296.0::DOUBLE + 0.5) / 4294967296.0::DOUBLE)"""
     join_steps = " UNION ALL ".join(
         f"SELECT *, {k} AS step FROM ({_reference_sql(f'(SELECT l_linestatus, o_orderpriority, l_extendedprice, l_discount, jsid AS sid FROM {oi_rows} WHERE pid IN ({", ".join(str(p[0]) for p in _PATHS[:k])}))', 'l_linestatus, o_orderpriority', q2_agg)})"
-        for k in range(1, 4)
+        for k in range(1, 6)
     )
     return {
         "scan_tables": _cte("lineitem", body="SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_shipdate AS VARCHAR) AS l_shipdate FROM x_lineitem"),
@@ -373,7 +410,22 @@ def oracle_sql() -> dict[str, str]:
         "quantile_disc": _cte("lineitem", body="SELECT l_returnflag, quantile_disc(l_extendedprice::DOUBLE, 0.05) AS q05, quantile_disc(l_extendedprice::DOUBLE, 0.5) AS q50, quantile_disc(l_extendedprice::DOUBLE, 0.95) AS q95 FROM x_lineitem GROUP BY 1"),
         "scale_single": _cte("lineitem", body="SELECT l_returnflag, l_linestatus, CAST(count(*) AS DOUBLE) * 4.0::DOUBLE AS est FROM x_lineitem WHERE pid IN (3, 1) GROUP BY 1, 2"),
         "true_error": _cte("lineitem", body=f"SELECT count(*) AS n_groups, round(avg(abs({PARTITIONS} * (part / 3) - whole) / abs(whole)), 6) AS mean_error FROM (SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS whole, CAST(sum(CASE WHEN pid IN (3, 1, 4) THEN l_quantity END) AS DOUBLE) AS part FROM x_lineitem GROUP BY 1, 2) WHERE part IS NOT NULL"),
-        "coverage": "SELECT (4 + 4 + 4) / 24.0::DOUBLE AS share",
+        "coverage": _cte("orders", "lineitem", body=f"SELECT ((SELECT count(DISTINCT pid) FROM x_orders WHERE pid IN (3, 1, 4)) + (SELECT count(DISTINCT pid) FROM x_lineitem WHERE pid IN (3, 1, 4))) / {2 * PARTITIONS}.0::DOUBLE AS share"),
+        "random_paths": _path_cte(f"SELECT p0, p1, p2 FROM paths ORDER BY {draw('p0', 'p1', 'p2')} LIMIT 20"),
+        "draw_paths": _cte("orders", "lineitem", body=f"SELECT p0, p1 FROM (SELECT DISTINCT a.pid AS p0, b.pid AS p1 FROM {_OI}) ORDER BY {draw('p0', 'p1')} LIMIT 5"),
+        "cms_build": _cte("orders", body=f"SELECT pid, depth, cell, count(*) AS n FROM ({cells('o_custkey', 'x_orders')}) GROUP BY ALL"),
+        "cms_join_size": _cte("customer", "orders", body=f"""SELECT left_pid, right_pid, CAST(min(size) AS BIGINT) AS join_size FROM (
+          SELECT a.pid AS left_pid, b.pid AS right_pid, depth, sum(a.n * b.n) AS size
+          FROM (SELECT pid, depth, cell, count(*) AS n FROM ({cells('c_custkey', 'x_customer')}) GROUP BY ALL) a
+          JOIN (SELECT pid, depth, cell, count(*) AS n FROM ({cells('o_custkey', 'x_orders')}) GROUP BY ALL) b USING (depth, cell) GROUP BY ALL)
+          GROUP BY ALL HAVING count(*) = 5"""),
+        "universe_crc32": f"""WITH RECURSIVE steps(o_orderkey, t, i, bit, c) AS (
+          SELECT o_orderkey, {o}, 1, 8, xor(4294967295::BIGINT, CAST(ascii(substr({o}, 1, 1)) AS BIGINT)) FROM orders
+          UNION ALL
+          SELECT o_orderkey, t, CASE WHEN bit = 1 THEN i + 1 ELSE i END, CASE WHEN bit = 1 THEN 8 ELSE bit - 1 END,
+                 xor(CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, CASE WHEN bit = 1 AND i < length(t) THEN CAST(ascii(substr(t, i + 1, 1)) AS BIGINT) ELSE 0 END)
+          FROM steps WHERE i <= length(t))
+        SELECT * FROM (SELECT o_orderkey, CAST(xor(c, 4294967295::BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u FROM steps WHERE i > length(t)) WHERE u < 0.1::DOUBLE""",
         "weighted_order": f"SELECT c_custkey, round(-ln(({_unit('CAST(c_custkey AS VARCHAR)')} * 4294967296.0::DOUBLE + 0.5) / 4294967296.0::DOUBLE) / c_nationkey, 6) AS draw FROM customer WHERE c_nationkey > 0",
         "live_paths": _path_cte("SELECT p0, p1, p2, s0, s1, 1.0::DOUBLE AS weight FROM sized WHERE s0 > 0 AND s1 > 0"),
         "path_weight": _path_cte(weight),

@@ -74,6 +74,27 @@ def read_parts(spark: SparkSession, files: Sequence[str], name: str) -> DataFram
     return typed(spark.read.parquet(*files), name)
 
 
+def sub_directories(spark: SparkSession, path: str) -> list[str]:
+    """Names of the directories below a path, whatever the file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(s.getPath().getName() for s in found if s.isDirectory())
+
+
+def lay_out(df: DataFrame, path: str) -> DataFrame:
+    """Writes a table with ``pid`` as one directory for each partition and returns it as read again.
+
+    A filter on ``pid`` then reads the chosen directories only.
+    """
+    df.repartition("pid").write.mode("overwrite").partitionBy("pid").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def partition_ids(spark: SparkSession, path: str) -> list[int]:
+    """Partitions of a table that was laid out, from the names of its directories."""
+    return sorted(int(d.split("=")[1]) for d in sub_directories(spark, path) if d.startswith("pid="))
+
+
 def file_manifest(df: DataFrame) -> DataFrame:
     """(partition, n_rows) for each part-file."""
     return df.groupBy(F.input_file_name().alias("partition")).agg(F.count("*").alias("n_rows"))
