@@ -16,7 +16,7 @@ from .suffixes import op3_suffixes
 from .templates import op7_templates
 from .tokenfiles import op4_tokenfiles
 from .toxicity import op10_toxicity
-from .urlfilter import op5_urlfilter
+from .urlfilter import OP5_SQL, op5_urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_nearest": OP6_SQL, "op8_mix": OP8_SQL}
+    return {"op5_urlfilter": OP5_SQL, "op6_nearest": OP6_SQL, "op8_mix": OP8_SQL}

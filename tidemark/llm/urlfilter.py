@@ -115,3 +115,47 @@ def judge(pages: DataFrame, spark: SparkSession, rules: Sequence[Rule] = RULES,
 
 def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), spark).drop("url")
+
+
+def _rules_sql(rules: Sequence[Rule] = RULES) -> str:
+    return ", ".join(f"({v == 'allow'}, '{h}', '{p}', '{h}{p}')" for v, h, p in rules)
+
+
+OP5_SQL = rf"""
+WITH RECURSIVE
+book(allow, r_host, r_path, rule) AS (VALUES {_rules_sql()}),
+declared AS (
+  SELECT url AS base, regexp_extract(regexp_extract(html, '<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is') AS raw FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
+  UNION ALL
+  SELECT url, regexp_extract(regexp_extract(html, '<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?([^"''\s>;]+)', 1, 'is') FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+links AS (
+  SELECT base, replace(trim(raw, ' '), '&amp;', '&') AS link, regexp_extract(base, '^(.*?)://', 1, 's') AS scheme,
+         regexp_extract(base, '^(.*?://[^/?#]*)', 1, 's') AS site, regexp_extract(base, '^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1, 's') AS folder
+  FROM declared),
+edges AS (
+  SELECT base AS src, CASE
+    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+    WHEN starts_with(link, '//') THEN scheme || ':' || link
+    WHEN starts_with(link, '/') THEN site || link
+    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(link, '?') OR starts_with(link, '#') THEN regexp_extract(base, '^([^?#]*)', 1, 's') || link
+    ELSE folder || CASE WHEN ends_with(folder, '/') THEN '' ELSE '/' END || link END AS dst
+  FROM links WHERE link <> ''),
+urls AS (SELECT url FROM pages UNION SELECT src FROM edges WHERE dst IS NOT NULL UNION SELECT dst FROM edges WHERE dst IS NOT NULL),
+cut AS (
+  SELECT url, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), '{_ASCII_UPPER}', '{_ASCII_LOWER}') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+         regexp_extract(url, '^.*?://[^/?#]*([^#]*)', 1, 's') AS rest, translate(regexp_extract(url, '^(.*?)://', 1, 's'), '{_ASCII_UPPER}', '{_ASCII_LOWER}') AS scheme
+  FROM urls),
+sites AS (
+  SELECT c.url, c.host, c.path, CASE WHEN contains(c.url, '://') THEN scheme || '://' || c.host || CASE WHEN rest = '' THEN '/' ELSE rest END END AS node, b.rule, b.allow
+  FROM cut c LEFT JOIN book b ON c.host <> '' AND (c.host = r_host OR ends_with(c.host, '.' || r_host)) AND starts_with(c.path, r_path)
+  QUALIFY row_number() OVER (PARTITION BY c.url ORDER BY length(rule) DESC NULLS LAST, allow DESC) = 1),
+steps AS (
+  SELECT a.node AS a, b.node AS b FROM edges JOIN sites a ON a.url = src JOIN sites b ON b.url = dst WHERE a.node IS NOT NULL AND b.node IS NOT NULL
+  UNION SELECT b.node, a.node FROM edges JOIN sites a ON a.url = src JOIN sites b ON b.url = dst WHERE a.node IS NOT NULL AND b.node IS NOT NULL),
+reach(n, r) AS (SELECT a, a FROM steps UNION SELECT n, b FROM reach JOIN steps ON r = a),
+aliased AS (SELECT n, max(allow::INT) AS by_alias FROM reach JOIN sites ON node = r GROUP BY n)
+SELECT p.page_id, s.host, s.path, s.rule, CASE WHEN coalesce(s.allow::INT, by_alias, 1) = 1 THEN 'allow' ELSE 'block' END AS verdict
+FROM pages p JOIN sites s ON p.url IS NOT DISTINCT FROM s.url LEFT JOIN aliased ON n = s.node
+"""
