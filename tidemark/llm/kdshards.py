@@ -1,111 +1,122 @@
 """Shards as the leaves of a k-d tree over metadata, cut at weighted medians.
 
-A node that holds several leaves is cut along its widest dimension (range over the root's range) at the value
-that leaves each side its share of the bytes; leaves therefore hold nearly equal bytes. Rows that tie on that
-dimension are ordered by the text's CRC-32 and then a hash of the id, so a hot source or language is cut too and
-equal texts lie next to each other. Only DataFrame functions are used.
-
-The cut is found digit by digit: sums of bytes for each node and 16-bit digit, aggregated on the map side,
-narrow the place in five passes over a compact table (no texts), whatever the number of rows. The driver holds
-the tree, a few numbers for each leaf. Nothing is sorted as a whole; slots come from counts of 1024 hashed
-ranges in each shard and an order within each range.
-
-Defined results: a null text has one byte (the end mark) and the CRC-32 of the empty text; null metadata and
-ids count as empty; rows that repeat both id and text travel together, being one point; an empty table gives an
-empty result; other columns are not read.
+The points of the tree are the distinct texts, weighted with the bytes of all their copies, so equal texts stay
+together; only a text whose copies hold more than a leaf's share is dealt, by hashed ids, into ``PIECES`` points to a
+leaf's share. Dimensions are ordinal: the ranks of source and language among their sorted values (of copies that
+differ the smallest), and the size in sixteenths of powers of two. A node that holds several leaves is cut along its
+widest dimension (its range of ranks over the root's) at the rank that leaves each side its share of the bytes, and
+within that rank by a hash of the text that is new on each level; leaves therefore hold nearly equal bytes. Only
+DataFrame functions are used.
+
+A level takes two aggregations, summed on the map side: bytes for each node, dimension and rank, which give the
+dimension and the rank of the cut, and bytes for 65,536 hashes of the texts at that rank. Cuts stay tables, which are
+joined; the driver holds two numbers. Nothing is sorted as a whole; slots come from counts of 4096 hashed ranges in
+each shard and an order within each range.
+
+Defined results: a null text has one byte (the end mark) and is equal to the empty text; null metadata and ids count
+as empty; missing metadata columns have one value; rows that repeat both id and text are points alike and lie in one
+shard; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, literal_rows, table, text_or_empty
+from .common import Scratch, broadcast_if_small, table, text_or_empty
 
-DIGIT = 16
+DIMENSIONS = ("source", "lang", "size")
+#: Points to a leaf's share of bytes for a text whose copies hold more than that.
+PIECES = 64
 
 
-def _points(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, the dimensions d0.. in 16 bits each, and the order t among ties in 64 bits."""
-    named = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")).bitwiseAND(0xFFFF) if c in docs.columns else F.lit(0).cast("long")
-    size = F.octet_length(text_or_empty()).cast("long") + 1
-    crc = F.crc32(text_or_empty().cast("binary"))
-    rest = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), named("source").alias("d0"), named("lang").alias("d1"), rest.alias("r")).withColumn("d2", (F.log2("size") * 2048).cast("long"))
+def _hex(c: Column, digits: int) -> Column:
+    """The number that the first hex digits of an MD5 make."""
+    return F.conv(F.substring(F.md5(c.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
-def _tie_digit(k: int) -> Column:
-    """The k-th 16-bit digit of a row's place among ties: two of the CRC-32, three of the id's hash."""
-    return F.shiftrightunsigned("text_crc32", 16 - DIGIT * k).bitwiseAND(0xFFFF) if k < 2 else F.shiftrightunsigned("r", 48 - DIGIT * (k - 2)).bitwiseAND(0xFFFF)
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
 
 
-def kd_shards(docs: DataFrame, spark: SparkSession, leaves: int | None = None, target_bytes: int | None = None, dims: int = 3) -> DataFrame:
+def _points(docs: DataFrame) -> DataFrame:
+    named = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")).alias(c)
+    body = text_or_empty().cast("binary")
+    return docs.select("doc_id", (F.octet_length(text_or_empty()).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"), F.md5(body).alias("text_md5"), named("source"), named("lang"))
+
+
+def _rank(units: DataFrame, column: str) -> DataFrame:
+    """Units with the rank of a text column among its distinct values, as ``r_<column>``; one row a value is ranked."""
+    values = units.select(column).distinct().withColumn(f"r_{column}", F.row_number().over(Window.orderBy(column)).cast("long"))
+    return units.join(values, column)
+
+
+def _size_rank(size: Column) -> Column:
+    bits = F.length(F.bin(size))
+    return (bits * 16 + F.expr("shiftright(size, greatest(length(bin(size)) - 5, 0))").bitwiseAND(F.lit(15).cast("long"))).cast("long")
+
+
+def _cuts(now: DataFrame, level: int, scratch: Scratch) -> DataFrame:
+    """(node, half, dim, rank, hash): of a node's texts those go left that lie below the rank, or at it up to the hash."""
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    cells = F.array(*(F.struct(F.lit(i).alias("dim"), F.col(f"r_{c}").alias("rank")) for i, c in enumerate(DIMENSIONS)))
+    open_ = now.where("n > 1")
+    sums = scratch.put(open_.select("node", "n", "w", F.inline(cells)).groupBy("node", "n", "dim", "rank").agg(F.sum("w").alias("w")), f"sums{level}")
+    ends = sums.groupBy("node", "n", "dim").agg((F.max("rank") - F.min("rank")).alias("wide"), F.sum("w").alias("whole"))
+    if level == 1:
+        scratch.put(ends.select("dim", F.greatest("wide", F.lit(1)).alias("root")), "root")
+    root = scratch.spark.read.schema("dim int, root long").parquet(scratch.path("root"))  # three rows
+    widest = ends.join(F.broadcast(root), "dim").groupBy("node").agg(F.max(F.struct((F.col("wide") / F.col("root")).alias("share"), (-F.col("dim")).alias("last"), F.col("whole"))).alias("x"))
+    chosen = sums.join(widest.select("node", (-F.col("x.last")).alias("dim"), "x.whole"), ["node", "dim"]).withColumn("half", F.floor(F.col("n") / 2))
+    upto = F.sum("w").over(Window.partitionBy("node").orderBy("rank"))
+    reached = lambda df: df.withColumn("upto", upto_of(df)).where(big("upto") * F.col("n") >= big("whole") * F.col("half"))
+    upto_of = lambda df: (F.col("base") + F.sum("w").over(Window.partitionBy("node").orderBy("hash"))) if "hash" in df.columns else upto
+    first = lambda df, by: reached(df).groupBy("node", "n", "half", "whole", *(("dim", "rank") if by == "hash" else ("dim",))).agg(F.min(F.struct(by, "upto", "w")).alias("x"))
+    ranks = scratch.put(first(chosen, "rank").select("node", "n", "half", "whole", "dim", "x.rank", (F.col("x.upto") - F.col("x.w")).alias("base")), f"ranks{level}")
+    at = F.element_at(F.array(*(f"r_{c}" for c in DIMENSIONS)), F.col("dim") + 1)
+    here = open_.drop("n").join(ranks, "node").where(at == F.col("rank")).select("node", "n", "half", "whole", "dim", "rank", "base", "w", _level_hash(level).alias("hash"))
+    hashes = here.groupBy("node", "n", "half", "whole", "dim", "rank", "base", "hash").agg(F.sum("w").alias("w"))
+    cut = first(hashes, "hash")
+    goal = big("whole") * F.col("half")
+    after, before = F.abs(big("x.upto") * F.col("n") - goal), F.abs((big("x.upto") - big("x.w")) * F.col("n") - goal)
+    return scratch.put(cut.select("node", "half", "dim", "rank", (F.col("x.hash") - F.when(after < before, 0).otherwise(1)).alias("hash")), f"cuts{level}")
+
+
+def _level_hash(level: int) -> Column:
+    return _hex(F.concat_ws("|", F.lit(str(level)), F.col("piece").cast("string"), F.col("text_md5")), 4)
+
+
+def kd_shards(docs: DataFrame, spark: SparkSession, leaves: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard): give the number of leaves, or the bytes a leaf should have."""
     scratch = Scratch(spark)
-    now = scratch.put(_points(docs).withColumn("node", F.lit(0).cast("long")), "level0")
-    total = now.agg(F.sum("size")).first()[0] or 0
-    leaves = leaves or max(1, math.ceil(total / target_bytes))
-    shares = {0: (0, leaves)}  # node: first leaf and number of leaves
-    ranges: list[float] = []
-    level = 0
-    while any(n > 1 for _, n in shares.values()):
-        level += 1
-        stats = {r["node"]: r for r in now.groupBy("node").agg(F.sum("size").alias("w"), *(f(f"d{i}").alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max)))).collect()}
-        if not ranges and 0 in stats:
-            ranges = [max(1, stats[0][f"hi{i}"] - stats[0][f"lo{i}"]) for i in range(dims)]
-        cuts = {}
-        for node, r in stats.items():
-            first, n = shares[node]
-            if n > 1:
-                wide = max(range(dims), key=lambda i, r=r: ((r[f"hi{i}"] - r[f"lo{i}"]) / ranges[i], -i))
-                cuts[node] = {"dim": wide, "goal": r["w"] * (n // 2) / n, "before": 0, "at": []}
-        if cuts:
-            cuts = _medians(spark, now, cuts)
-            table_ = literal_rows(spark, [(k, c["dim"], *c["at"], c["with_ties"]) for k, c in cuts.items()], node="long", dim="int", **{f"a{k}": "long" for k in range(6)}, tie="boolean")
-            place = F.struct(F.element_at(F.array(*(f"d{i}" for i in range(dims))), F.col("dim") + 1).alias("p0"), *(_tie_digit(k).alias(f"p{k + 1}") for k in range(5)))
-            edge = F.struct(*(F.col(f"a{k}").alias(f"p{k}") for k in range(6)))
-            left = (place < edge) | ((place == edge) & F.col("tie"))
-            moved = now.join(table_, "node", "left").withColumn("node", F.when(F.col("dim").isNull(), F.col("node") * 2).otherwise(F.col("node") * 2 + F.when(left, 0).otherwise(1)))
-        else:
-            moved = now.withColumn("node", F.col("node") * 2)
-        now = scratch.put(moved.select("doc_id", "size", "text_crc32", *(f"d{i}" for i in range(dims)), "r", "node"), f"level{level}")
-        scratch.drop(f"level{level - 1}")
-        after = {}
-        for node, (first, n) in shares.items():
-            after[node * 2] = (first, n // 2 if n > 1 else 1)
-            if n > 1:
-                after[node * 2 + 1] = (first + n // 2, n - n // 2)
-        shares = after
-    shard = literal_rows(spark, [(k, first) for k, (first, _) in shares.items()], node="long", shard="int")
-    return now.join(shard, "node").select("doc_id", "size", "text_crc32", "shard")
-
-
-def _medians(spark: SparkSession, rows: DataFrame, cuts: dict[int, dict]) -> dict[int, dict]:
-    """Narrows each node's cut digit by digit; ``at`` gets the digits, ``with_ties`` whether its rows go left."""
-    for step in range(6):
-        state = literal_rows(spark, [(k, c["dim"], float(c["goal"]), int(c["before"]), *(c["at"] + [0] * 6)[:6]) for k, c in cuts.items()], node="long", dim="int", goal="double", before="long", **{f"a{k}": "long" for k in range(6)})
-        digits = [F.element_at(F.array("d0", "d1", "d2"), F.col("dim") + 1), *(_tie_digit(k) for k in range(5))]
-        joined = rows.join(state, "node")
-        for k in range(step):
-            joined = joined.where(digits[k] == F.col(f"a{k}"))
-        sums = joined.groupBy("node", digits[step].alias("g")).agg(F.sum("size").alias("w"), F.first("goal").alias("goal"), F.first("before").alias("before"))
-        run = F.sum("w").over(Window.partitionBy("node").orderBy("g"))
-        crossed = sums.withColumn("upto", F.col("before") + run).where("upto >= goal").groupBy("node").agg(F.min(F.struct("g", "upto", "w")).alias("x"))
-        for r in crossed.collect():
-            c = cuts[r["node"]]
-            c["at"].append(r["x"]["g"])
-            c["before"], c["upto"] = r["x"]["upto"] - r["x"]["w"], r["x"]["upto"]
-    for c in cuts.values():
-        c["with_ties"] = abs(c["upto"] - c["goal"]) < abs(c["before"] - c["goal"])
-    return cuts
-
-
-def with_slots(rows: DataFrame, spark: SparkSession, ranges: int = 1024) -> DataFrame:
+    points = scratch.put(_points(docs), "points")
+    total = points.agg(F.sum("size")).first()[0] or 0
+    leaves = leaves or max(1, -(-total // target_bytes))
+    copies = points.groupBy("text_md5").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * leaves > total)  # fewer than there are leaves
+    pieces = broadcast_if_small(scratch.put(copies.select("text_md5", F.ceil(F.col("bytes") * (PIECES * leaves) / F.lit(max(total, 1))).alias("pieces")), "pieces"))
+    placed = points.join(pieces, "text_md5", "left").withColumn("piece", F.when(F.col("pieces").isNull(), 0).otherwise(_hex(_id(), 8) % F.col("pieces")))
+    units = placed.groupBy("text_md5", "piece").agg(F.sum("size").alias("w"), *(F.min(c).alias(c) for c in DIMENSIONS))
+    ranked = _rank(_rank(scratch.put(units, "units"), "source"), "lang")
+    first = ranked.select("text_md5", "piece", "w", "r_source", "r_lang", _size_rank(F.col("size")).alias("r_size"), F.lit(0).alias("node"), F.lit(int(leaves)).alias("n"))
+    now, level, most = scratch.put(first, "level0"), 0, int(leaves)
+    while most > 1:
+        level, most = level + 1, most - most // 2
+        cuts = broadcast_if_small(_cuts(now, level, scratch))
+        at = F.element_at(F.array(*(f"r_{c}" for c in DIMENSIONS)), F.col("dim") + 1)
+        left = (at < F.col("rank")) | ((at == F.col("rank")) & (_level_hash(level) <= F.col("hash")))
+        side = now.join(cuts, "node", "left").withColumn("left", left)
+        node = F.when(F.col("half").isNull() | F.col("left"), F.col("node")).otherwise(F.col("node") + F.col("half")).cast("int")
+        n = F.when(F.col("half").isNull(), F.col("n")).when(F.col("left"), F.col("half")).otherwise(F.col("n") - F.col("half")).cast("int")
+        now = scratch.put(side.select("text_md5", "piece", "w", *(f"r_{c}" for c in DIMENSIONS), node.alias("node"), n.alias("n")), f"level{level}")
+        scratch.drop(*(f"{t}{level}" for t in ("sums", "ranks", "cuts")), f"level{level - 1}")
+    shard = now.select("text_md5", F.col("piece").cast("long").alias("piece"), F.col("node").alias("shard"))
+    return placed.withColumn("piece", F.col("piece").cast("long")).join(shard, ["text_md5", "piece"]).select("doc_id", "size", "text_crc32", "shard")
+
+
+def with_slots(rows: DataFrame, spark: SparkSession) -> DataFrame:
     """Adds ``slot``, gapless from 0 in each shard."""
     scratch = Scratch(spark)
-    kept = scratch.put(rows.withColumn("b", F.pmod(F.xxhash64("text_crc32", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(ranges))), "sharded")
+    kept = scratch.put(rows.withColumn("b", _hex(F.concat_ws("|", F.col("text_crc32").cast("string"), _id()), 3)), "sharded")
     counts = kept.groupBy("shard", "b").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     place = F.row_number().over(Window.partitionBy("shard", "b").orderBy("text_crc32", "doc_id", "size"))
@@ -115,3 +126,39 @@ def with_slots(rows: DataFrame, spark: SparkSession, ranges: int = 1024) -> Data
 def op9_kdshards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = kd_shards(table(spark, sf_dir, "documents"), spark, leaves=8)
     return with_slots(shards, spark).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _level_sql(k: int) -> str:
+    """Units after the cuts of level k."""
+    return f"""
+c{k} AS (SELECT node, n, dim, rank, sum(w)::HUGEINT AS w FROM (SELECT node, n, w, unnest([0, 1, 2]) AS dim, unnest([r_source, r_lang, r_size]) AS rank FROM u{k - 1} WHERE n > 1) GROUP BY ALL),
+e{k} AS (SELECT node, dim, max(rank) - min(rank) AS wide, sum(w)::HUGEINT AS whole FROM c{k} GROUP BY ALL),
+d{k} AS (SELECT node, dim, whole FROM e{k} JOIN (SELECT dim, greatest(wide, 1) AS root FROM e1) USING (dim) QUALIFY row_number() OVER (PARTITION BY node ORDER BY wide::DOUBLE / root DESC, dim) = 1),
+k{k} AS (SELECT node, n, n // 2 AS half, dim, whole, rank, upto - w AS base FROM (SELECT *, sum(w) OVER (PARTITION BY node ORDER BY rank) AS upto FROM c{k} JOIN d{k} USING (node, dim))
+  WHERE upto * n >= whole * (n // 2) QUALIFY row_number() OVER (PARTITION BY node ORDER BY rank) = 1),
+h{k} AS (SELECT *, base + sum(w) OVER (PARTITION BY node ORDER BY hash) AS upto FROM (
+  SELECT node, k.n, half, dim, whole, rank, base, ('0x' || substr(md5('{k}|' || piece || '|' || text_md5), 1, 4))::BIGINT AS hash, sum(w)::HUGEINT AS w
+  FROM u{k - 1} u JOIN k{k} k USING (node) WHERE [r_source, r_lang, r_size][dim + 1] = rank GROUP BY ALL)),
+x{k} AS (SELECT node, half, dim, rank, hash - CASE WHEN abs(upto * n - whole * half) < abs((upto - w) * n - whole * half) THEN 0 ELSE 1 END AS hash
+  FROM h{k} WHERE upto * n >= whole * half QUALIFY row_number() OVER (PARTITION BY node ORDER BY hash) = 1),
+m{k} AS (SELECT u.*, half, ([r_source, r_lang, r_size][dim + 1] < rank OR ([r_source, r_lang, r_size][dim + 1] = rank AND ('0x' || substr(md5('{k}|' || piece || '|' || text_md5), 1, 4))::BIGINT <= hash)) AS le
+  FROM u{k - 1} u LEFT JOIN x{k} USING (node)),
+u{k} AS (SELECT text_md5, piece, w, r_source, r_lang, r_size, CASE WHEN half IS NULL OR le THEN node ELSE node + half END AS node, CASE WHEN half IS NULL THEN n WHEN le THEN half ELSE n - half END AS n FROM m{k})"""
+
+
+OP9_SQL = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t),
+points AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, md5(coalesce(text, '')) AS text_md5, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS text_crc32
+  FROM documents, crc),
+total AS (SELECT sum(size) AS total FROM points),
+copies AS (SELECT text_md5, CAST(ceil(sum(size) * {PIECES * 8} / max(total)) AS BIGINT) AS pieces FROM points, total GROUP BY 1 HAVING sum(size) * 8 > max(total)),
+placed AS (SELECT p.*, CASE WHEN pieces IS NULL THEN 0 ELSE ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT % pieces END AS piece FROM points p LEFT JOIN copies USING (text_md5)),
+units AS (SELECT text_md5, piece, sum(size)::BIGINT AS w, min(source) AS source, min(lang) AS lang, min(size) AS size FROM placed GROUP BY ALL),
+u0 AS (SELECT text_md5, piece, w, dense_rank() OVER (ORDER BY source) AS r_source, dense_rank() OVER (ORDER BY lang) AS r_lang,
+       CAST(length(bin(size)) * 16 + ((size >> greatest(length(bin(size)) - 5, 0)) & 15) AS BIGINT) AS r_size, 0 AS node, 8 AS n FROM units),{",".join(map(_level_sql, (1, 2, 3)))}
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(node AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY node ORDER BY substr(md5(text_crc32 || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3), text_crc32, doc_id NULLS FIRST, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed JOIN u3 USING (text_md5, piece)
+"""

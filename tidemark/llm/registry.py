@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import ships_package
 from .katz import op1_katz
-from .kdshards import op9_kdshards
+from .kdshards import OP9_SQL, op9_kdshards
 from .mixing import OP8_SQL, op8_mix
 from .neighbours import OP6_SQL, op6_nearest
 from .simhash import op2_simhash
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_urlfilter": OP5_SQL, "op6_nearest": OP6_SQL, "op8_mix": OP8_SQL}
+    return {"op5_urlfilter": OP5_SQL, "op6_nearest": OP6_SQL, "op8_mix": OP8_SQL, "op9_kdshards": OP9_SQL}
