@@ -45,10 +45,10 @@ def _points(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (F.octet_length(text_or_empty()).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"), F.md5(body).alias("text_md5"), named("source"), named("lang"))
 
 
-def _rank(units: DataFrame, column: str) -> DataFrame:
+def _rank(units: DataFrame, column: str, scratch: Scratch) -> DataFrame:
     """Units with the rank of a text column among its distinct values, as ``r_<column>``; one row a value is ranked."""
     values = units.select(column).distinct().withColumn(f"r_{column}", F.row_number().over(Window.orderBy(column)).cast("long"))
-    return units.join(values, column)
+    return units.join(broadcast_if_small(scratch.put(values, f"ranks-{column}")), column)
 
 
 def _size_rank(size: Column) -> Column:
@@ -96,7 +96,7 @@ def kd_shards(docs: DataFrame, spark: SparkSession, leaves: int | None = None, t
     pieces = broadcast_if_small(scratch.put(copies.select("text_md5", F.ceil(F.col("bytes") * (PIECES * leaves) / F.lit(max(total, 1))).alias("pieces")), "pieces"))
     placed = points.join(pieces, "text_md5", "left").withColumn("piece", F.when(F.col("pieces").isNull(), 0).otherwise(_hex(_id(), 8) % F.col("pieces")))
     units = placed.groupBy("text_md5", "piece").agg(F.sum("size").alias("w"), *(F.min(c).alias(c) for c in DIMENSIONS))
-    ranked = _rank(_rank(scratch.put(units, "units"), "source"), "lang")
+    ranked = _rank(_rank(scratch.put(units, "units"), "source", scratch), "lang", scratch)
     first = ranked.select("text_md5", "piece", "w", "r_source", "r_lang", _size_rank(F.col("size")).alias("r_size"), F.lit(0).alias("node"), F.lit(int(leaves)).alias("n"))
     now, level, most = scratch.put(first, "level0"), 0, int(leaves)
     while most > 1:
