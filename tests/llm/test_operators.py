@@ -507,11 +507,33 @@ def test_templates_without_item_id(spark, ship):
     assert found_by(spark, [(None, item), (None, "another question that nobody has ever asked in this place"), (3, item)], ["no", item]) == {(1, None), (1, 3)}
 
 
-def test_template_slices(spark, ship, docs, monkeypatch):
+def test_templates_with_a_full_bit_map(spark, ship, docs, monkeypatch):
     bench = table(spark, SF, "benchmark")
     whole = sorted(map(tuple, templates.contaminated(docs, bench, spark).collect()))
-    monkeypatch.setattr(templates, "MOST_WINDOWS", 300)
-    assert sorted(map(tuple, templates.contaminated(docs, bench, spark).collect())) == whole
+    monkeypatch.setattr(templates, "MOST_BITS", 64)
+    assert sorted(map(tuple, templates.contaminated(docs, bench, spark).collect())) == whole and whole
+
+
+def test_templates_find_new_parameters(spark, ship):
+    """Every item and further questions with all numbers, names and units replaced."""
+    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect() if r.text]
+    ask = ("A train travels {} km in {} hours then {} km in {} hours and {} km in {} hour", "If Anna gives {} of her {} marbles to Peter and Peter loses {} how many marbles does Peter have now?", "the farm of Maria sells {} kg of apples for {} dollars each and {} kg of pears for {} dollars so what does she earn")
+    new = [(10_000 + i, q.format(*range(11 + i, 11 + i + q.count("{}")))) for i, q in enumerate(ask * 5)]
+    other = {"Anna": "Ulla", "Peter": "Karl", "Maria": "Greta", "km": "miles", "kg": "lbs", "dollars": "euros", "hours": "days"}
+    swap = lambda t: " ".join(str(int(w) + 500) if w.isdigit() else other.get(w, w) for w in t.split(" "))
+    everything = items + new
+    got = found_by(spark, everything, ["an answer follows. " + swap(t) + " so it was" for _, t in everything] + ["please say: " + t for _, t in new])
+    n = len(everything)
+    assert {(n + k, i) for k, (i, _) in enumerate(new)} <= got  # verbatim
+    assert sum((k, i) in got for k, (i, _) in enumerate(items)) == len(items)
+    assert sum((len(items) + k, i) in got for k, (i, t) in enumerate(new) if "train" not in t) == 10  # of the train only numbers and units are left
+
+
+def test_decontamination_stage_odd(spark, odd, empty):
+    clash = odd.withColumns({c: odd.text for c in ("id", "item_id", "hits", "row", "h", "pos", "own", "item")})
+    for frame in (odd, clash, empty):
+        kept = templates.decontamination_stage(spark, frame, SF)
+        assert kept.columns == frame.columns and sorted(map(str, kept.collect())) == sorted(map(str, frame.collect()))
 
 
 # ---- op 8 ----

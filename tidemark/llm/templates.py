@@ -2,16 +2,17 @@
 
 Words are cut at white space, freed of ASCII punctuation and lower-cased; numbers, names (capitalised words that
 do not begin a sentence or line) and units become typed placeholders. Windows of ``window`` such tokens of a
-document are looked up in a hash table of the benchmark's windows; the hits of a document and an item that lie
+document are joined to the benchmark's windows on their hash; the hits of a document and an item that lie
 on one diagonal are kept if their slots agree: each slot value of the item stands for one value in the document,
 and different ones for different ones, the commonest pairs deciding. So a question whose numbers, names or units were replaced throughout is
 caught, and a window that happens to have the same skeleton is not. A document holds an item if the consistent
 hits cover at least ``min_share`` of the item's windows, of all or of those looked up by placeholders, or
 if ``MIN_RUN`` words of it in a row are covered, whatever its length.
 
-The table of windows is sent to the tasks in slices of at most ``MOST_WINDOWS``, which is its bound; a larger
-benchmark takes more passes over the documents. Documents are not shuffled and each is judged where it is read,
-so hot passages and groups of copies make no large task.
+Both sides of the join are tables and neither is held by one task or the driver. Documents emit only windows that
+pass a bit map of the benchmark's window hashes, at most ``MOST_BITS`` bits whatever the benchmark's size: with a
+fuller map more windows pass, and the join decides. A window is sent with its own values, so texts are read once and
+not shuffled. Hits are dealt by document and item, so a passage that is in many documents makes no large task.
 
 Defined results: null or empty texts and items match nothing; items shorter than a window are one window;
 a stretch of hits with fewer than ``min_literal`` words that are no placeholders counts only where its slots have
@@ -23,17 +24,17 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
 from .textops import LOWER, mix, pack, prefix_hashes, slices, span_hashes, words
 
-MOST_WINDOWS = 1_000_000
+MOST_BITS = 1 << 27
 #: Words of an item in a row that are enough, whatever their share of it.
 MIN_RUN = 20
 UNITS = (
@@ -117,27 +118,25 @@ def _windows(token: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     return mix(h[whole]), whole
 
 
-@dataclass(frozen=True)
-class Book:
-    """The windows of some benchmark items, by window size."""
+def _key(h: np.ndarray, size: int, by_value: bool) -> np.ndarray:
+    return mix(h + np.uint64(2 * size + by_value))
 
-    ids: pd.arrays.IntegerArray
-    token: np.ndarray
-    value: np.ndarray
-    first: np.ndarray
-    sizes: list[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray]]  # size, whether by values; sorted hashes, item and start of each
-    counts: np.ndarray  # windows of each item
-    typed: np.ndarray  # and those looked up by placeholders
-    is_typed: np.ndarray  # whether the window that starts at a token is one
-    min_literal: int
 
+def _cells(x: np.ndarray, start: np.ndarray, size: int) -> list[bytes]:
+    """The window's part of an array for each start."""
+    return [row.tobytes() for row in x[start[:, None] + np.arange(size)]]
 
-def make_book(ids: list[int | None], texts: list[str | None], window: int, min_literal: int) -> Book:
-    token, value, first = tokens(texts)
+
+_BOOK = "h long, item long, item_id long, size int, by_value boolean, at int, token binary, value binary, windows int, typed int, is_typed boolean"
+
+
+def book_of(items: pd.DataFrame, window: int, min_literal: int) -> Iterator[pd.DataFrame]:
+    """Rows of the benchmark's windows; ``windows`` and ``typed``: how many the item has, and how many looked up by placeholders."""
+    token, value, first = tokens(items["text"])
     length = np.diff(first)
     literal = np.concatenate(([0], np.cumsum(~_is_slot(token))))
-    item_of = np.repeat(np.arange(len(ids)), length)
-    sizes, counts, typed, is_typed = [], np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros(len(token), bool)
+    item_of = np.repeat(np.arange(len(items)), length)
+    counts, typed, found = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64), []
     for size in sorted({min(window, int(n)) for n in length if n}):
         for by_value in (False, True):
             h, start = _windows(value if by_value else token, first, size)
@@ -146,14 +145,14 @@ def make_book(ids: list[int | None], texts: list[str | None], window: int, min_l
             if by_value:  # few windows may all begin with a word that is a name in one text and not in the other
                 fits &= ~enough | (length[item_of[start]] <= 2 * window)
             else:
-                counts += np.bincount(item_of[start[fits]], minlength=len(ids))
+                counts += np.bincount(item_of[start[fits]], minlength=len(items))
                 fits &= enough
-                typed += np.bincount(item_of[start[fits]], minlength=len(ids))
-                is_typed[start[fits]] = True
-            h, start = h[fits], start[fits]
-            order = np.argsort(h, kind="stable")
-            sizes.append((size, by_value, h[order], item_of[start[order]], start[order]))
-    return Book(pd.array(ids, dtype="Int64"), token, value, first, sizes, counts, typed, is_typed, min_literal)
+                typed += np.bincount(item_of[start[fits]], minlength=len(items))
+            found.append((size, by_value, _key(h[fits], size, by_value), start[fits], enough[fits]))
+    ids, item = items["item_id"].astype("Int64").array, items["item"].to_numpy()
+    for size, by_value, h, start, enough in found:
+        of = item_of[start]
+        yield pd.DataFrame({"h": h.view(np.int64), "item": item[of], "item_id": ids[of], "size": size, "by_value": by_value, "at": start - first[of], "token": _cells(token, start, size), "value": _cells(value, start, size), "windows": counts[of], "typed": typed[of], "is_typed": enough})
 
 
 def _consistent(mine: np.ndarray, theirs: np.ndarray, kind: np.ndarray) -> bool:
@@ -162,110 +161,131 @@ def _consistent(mine: np.ndarray, theirs: np.ndarray, kind: np.ndarray) -> bool:
     return len({(k, a) for k, a, _ in pairs}) == len(pairs) == len({(k, b) for k, _, b in pairs})
 
 
-def matches(book: Book, texts, min_share: float) -> list[tuple[int, int, int, int, bool]]:
-    """(text number, item number, hits, windows of the item, all slots equal) for texts that hold an item."""
-    token, value, first = tokens(texts)
-    text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    found = []
-    for size, by_value, hashes, item, at in book.sizes:
-        if not len(hashes):
-            continue
-        h, start = _windows(value if by_value else token, first, size)
-        if not len(h):
-            continue
-        low = np.searchsorted(hashes, h)
-        hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h)
-        low, high = low[hit], np.searchsorted(hashes, h[hit], side="right")
-        many = high - low
-        d = np.repeat(start[hit], many)
-        b = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        found.append(np.column_stack([text_of[d], item[b], d - at[b], at[b], np.full(len(d), size)]))
-    if not found:
-        return []
-    rows = np.concatenate(found)
-    rows = rows[np.lexsort(rows.T[::-1])]
-    out: dict[tuple[int, int], list] = {}
-    cut = np.flatnonzero(np.any(rows[1:, :3] != rows[:-1, :3], axis=1)) + 1
+def _judged(rows: pd.DataFrame, min_literal: int, min_share: float) -> tuple[int, bool] | None:
+    """(hits, whether all slots are equal) if these hits of one document and item, sorted by size, shift and place, say that it holds it."""
+    good_at, exact, long = set(), True, False
+    size_, shift_ = rows["size"].to_numpy(), rows["shift"].to_numpy()
+    cut = np.flatnonzero((np.diff(size_) != 0) | (np.diff(shift_) != 0)) + 1
     for a, z in zip([0, *cut], [*cut, len(rows)], strict=True):
-        if z <= a:
-            continue
-        doc, item, shift = rows[a, :3]
-        starts, size = np.unique(rows[a:z, 3]), rows[a, 4]
-        places = np.unique(starts[:, None] + np.arange(size))
-        slot = places[_is_slot(book.token[places])]
-        mine, theirs, kind = book.value[slot], value[slot + shift], book.token[slot]
-        same = mine == theirs
+        part, size = rows.iloc[a:z], int(size_[a])
+        at = part["at"].to_numpy()
+        base = int(at[0])
+        cells = at[:, None] - base + np.arange(size)
+        of = lambda c: np.frombuffer(b"".join(part[c]), np.uint64).reshape(-1, size)  # noqa: E731, B023
+        token, mine, theirs = (np.zeros(int(at[-1]) - base + size, np.uint64) for _ in range(3))
+        token[cells], mine[cells], theirs[cells] = of("token"), of("value"), of("own")
+        starts = np.unique(at) - base
+        slot = np.unique(cells)
+        slot = slot[_is_slot(token[slot])]
+        same = mine[slot] == theirs[slot]
         good = starts
-        if not same.all() and not _consistent(mine, theirs, kind):
-            agrees = np.ones(len(book.token) + 1, bool)
-            agrees[slot] = _agreeing(mine, theirs, kind)
-            good = starts[[agrees[x : x + size].all() for x in starts]]
-        good = _with_evidence(book, good, int(size), slot[~same])
-        if not len(good):
-            continue
-        seen = out.setdefault((int(doc), int(item)), [set(), True, False])
-        runs = np.split(good, np.flatnonzero(np.diff(good) > 1) + 1)
-        seen[2] |= max(int(x[-1] - x[0]) for x in runs) + int(size) >= MIN_RUN
-        seen[0].update(int(s) for s in good)
-        seen[1] &= bool(same.all())
-    return [(doc, item, len(s), int(book.counts[item]), exact) for (doc, item), (s, exact, long) in out.items() if long or _holds(book, item, s, min_share)]
-
-
-def _with_evidence(book: Book, starts: np.ndarray, size: int, changed: np.ndarray) -> np.ndarray:
+        if not same.all() and not _consistent(mine[slot], theirs[slot], token[slot]):
+            agrees = np.ones(len(token), bool)
+            agrees[slot] = _agreeing(mine[slot], theirs[slot], token[slot])
+            good = starts[agrees[starts[:, None] + np.arange(size)].all(axis=1)]
+        good = _with_evidence(token, good, size, slot[~same], min_literal)
+        if len(good):
+            runs = np.split(good, np.flatnonzero(np.diff(good) > 1) + 1)
+            long |= max(int(x[-1] - x[0]) for x in runs) + size >= MIN_RUN
+            good_at.update((good + base).tolist())
+            exact &= bool(same.all())
+    if not good_at:
+        return None
+    typed = len(good_at & set(rows["at"][rows["is_typed"]]))
+    whole = len(good_at) >= min_share * rows["windows"].iloc[0] or (typed > 0 and typed >= min_share * rows["typed"].iloc[0])
+    return (len(good_at), exact) if long or whole else None
+
+
+def _with_evidence(token: np.ndarray, starts: np.ndarray, size: int, changed: np.ndarray, min_literal: int) -> np.ndarray:
     """Windows in stretches with enough literals, and of others those without a changed slot."""
-    kept = []
+    kept = [np.zeros(0, np.int64)]
     for stretch in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-        if len(stretch) and (~_is_slot(book.token[stretch[0] : stretch[-1] + size])).sum() < book.min_literal:
+        if len(stretch) and (~_is_slot(token[stretch[0] : stretch[-1] + size])).sum() < min_literal:
             stretch = stretch[np.searchsorted(changed, stretch) == np.searchsorted(changed, stretch + size)]
         kept.append(stretch)
     return np.concatenate(kept)
 
 
-def _holds(book: Book, item: int, starts: set[int], min_share: float) -> bool:
-    """Whether these windows are a large enough part of the item."""
-    typed = sum(bool(book.is_typed[x]) for x in starts)
-    return len(starts) >= min_share * book.counts[item] or (typed > 0 and typed >= min_share * book.typed[item])
-
-
 def _agreeing(mine: np.ndarray, theirs: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Which slots agree with a one-to-one reading: commonest pairs first, of equally common ones the earliest."""
     pairs = list(zip(kind.tolist(), mine.tolist(), theirs.tolist(), strict=True))
-    count = Counter(pairs)
     there: dict[tuple[int, int], int] = {}
     back: dict[tuple[int, int], int] = {}
     taken = set()
-    for k, a, b in sorted(count, key=lambda x: (-count[x], pairs.index(x))):
+    for (k, a, b), _ in Counter(pairs).most_common():  # equal counts in the order of first places
         if (k, a) not in there and (k, b) not in back:
             there[k, a], back[k, b] = b, a
             taken.add((k, a, b))
     return np.array([x in taken for x in pairs])
 
 
+def _bit_map(book: DataFrame) -> np.ndarray:
+    """Bits of the window hashes, sixteen for each or at most ``MOST_BITS``."""
+    bits = 64
+    while bits < min(MOST_BITS, 16 * book.count()):
+        bits *= 2
+    place = F.col("h").bitwiseAND(F.lit(bits - 1).cast("long"))
+    words = book.select((place / 64).cast("int").alias("i"), F.expr("shiftleft(1L, cast(h & 63L as int))").alias("w")).groupBy("i").agg(F.bit_or("w").alias("w")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["i"].to_numpy()] = words["w"].to_numpy().view(np.uint64)
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, window: int = 8, min_literal: int = 5, min_share: float = 0.3, id_col: str = "doc_id") -> DataFrame:
     """(id, item_id, hits, windows, exact): one row for each document and item that it holds."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
-    words_in = F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+"))
-    total = items.agg(F.sum(words_in)).first()[0] or 0
-    passes = max(1, -(-total // MOST_WINDOWS))
+    scratch = Scratch(spark)
+    items = scratch.put(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0").withColumn("item", F.monotonically_increasing_id()), "items")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in slices(batch):
+                yield from book_of(part, window, min_literal)
+
+    book = scratch.put(items.mapInPandas(cut, _BOOK), "book")
+    kinds = [tuple(r) for r in book.select("size", "by_value").distinct().collect()]  # two for each size up to ``window``
+    sent = spark.sparkContext.broadcast(_bit_map(book))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, base = sent.value, TaskContext.get().partitionId() << 32  # a number for each row read
+        top = np.uint64(len(bits) - 1)
+        for batch in batches:
+            for part in slices(batch):
+                token, value, first = tokens(part["text"])
+                text_of = np.repeat(np.arange(len(part)), np.diff(first))
+                ids = part["id"].astype("Int64").array
+                for size, by_value in kinds:
+                    h, start = _windows(value if by_value else token, first, size)
+                    h = _key(h, size, by_value)
+                    hit = np.flatnonzero(bits[h >> np.uint64(6) & top] >> (h & np.uint64(63)) & np.uint64(1))
+                    start, of = start[hit], text_of[start[hit]]
+                    yield pd.DataFrame({"row": base + of, "id": ids[of], "h": h[hit].view(np.int64), "pos": start - first[of], "own": _cells(value, start, size)})
+                base += len(part)
+
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text", F.lit(5)), F.lit(passes)) == k).orderBy("item_id", "text").collect()
-        sent = spark.sparkContext.broadcast(make_book([r[0] for r in part], [r[1] for r in part], window, min_literal))
-
-        def find(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            book = sent.value
-            for batch in batches:
-                for piece in slices(batch):
-                    ids = piece["id"].astype("Int64").array
-                    got = matches(book, piece["text"], min_share)
-                    yield pd.DataFrame(
-                        {"id": ids[[g[0] for g in got]], "item_id": book.ids[[g[1] for g in got]], "hits": [g[2] for g in got], "windows": [g[3] for g in got], "exact": [g[4] for g in got]}
-                    )
-
-        found = narrow.mapInPandas(find, "id long, item_id long, hits long, windows long, exact boolean")
-        out = found if out is None else out.unionByName(found)
-    return out
+    hits = narrow.mapInPandas(find, "row long, id long, h long, pos int, own binary")
+    met = hits.join(book, "h").withColumn("shift", F.col("pos") - F.col("at")).drop("h", "pos", "by_value")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by document and item; the last of them waits for the next batch."""
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch])
+            edge = [0, *(np.flatnonzero((np.diff(rest["row"].to_numpy()) != 0) | (np.diff(rest["item"].to_numpy()) != 0)) + 1)]
+            yield of([rest.iloc[a:z] for a, z in zip(edge, edge[1:], strict=False)])
+            rest = rest.iloc[edge[-1] :]
+        if rest is not None and len(rest):
+            yield of([rest])
+
+    def of(groups: list[pd.DataFrame]) -> pd.DataFrame:
+        out = []
+        for g in groups:
+            if (got := _judged(g, min_literal, min_share)) is not None:
+                out.append([g["id"].iloc[0], g["item_id"].iloc[0], got[0], g["windows"].iloc[0], got[1]])
+        frame = pd.DataFrame(out, columns=["id", "item_id", "hits", "windows", "exact"])
+        return frame.assign(id=frame["id"].astype("Int64"), item_id=frame["item_id"].astype("Int64"), exact=frame["exact"].astype(bool))
+
+    dealt = met.repartition("row", "item").sortWithinPartitions("row", "item", "size", "shift", "at")
+    return dealt.mapInPandas(judge, "id long, item_id long, hits long, windows long, exact boolean")
 
 
 def op7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +293,11 @@ def op7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go; rows without an id stay."""
+    """Pipeline stage: documents that hold a benchmark item go; rows without an id stay.
+
+    Further columns are kept as they are, whatever their names; an empty table stays empty, and with an empty
+    benchmark all rows stay.
+    """
     # written, so that its size decides how it is joined
     gone = Scratch(spark).put(contaminated(docs, table(spark, sf_dir, "benchmark"), spark).select(F.col("id").alias("doc_id")).distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti")
