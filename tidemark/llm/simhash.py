@@ -167,7 +167,8 @@ def links(nodes: DataFrame, width: int, blocks: int, choose: int, distance: int,
     cols = [f"f{k}" for k in range(width)]
     keyed = nodes.select("node", F.posexplode(F.array(*cols)).alias("word", "f")).select("node", F.explode(_keys(blocks, choose)).alias("key"))
     sizes = scratch.put(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = scratch.put(keyed.join(sizes, "key"), "shared")  # without fingerprints, as most keys are shared by nobody
+    # without fingerprints, as most keys are shared by nobody; the same join at every size, and one that splits hot keys
+    shared = scratch.put(keyed.join(sizes.hint("merge"), "key"), "shared")
     sized = shared.join(nodes.select("node", *cols), "node")
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
