@@ -13,7 +13,8 @@ import pytest
 import xxhash
 
 from tidemark.llm import katz, kdshards, mixing, neighbours, registry, simhash, suffixes, templates, tokenfiles, toxicity, urlfilter
-from tidemark.llm.common import ships_package, table
+from tidemark.llm.common import Scratch, ships_package, table
+from tidemark.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, score double, t string"
@@ -100,6 +101,15 @@ def test_katz(spark, docs, local):
         assert tuple(g)[:5] == w[:5] and g.base_score == pytest.approx(w[5], rel=1e-9) and g.score == pytest.approx(w[6], rel=1e-7)
 
 
+def test_katz_tells_long_words_apart(spark, ship):
+    word = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    held = next(i for i in range(99) if katz.is_held_out(i))
+    rows = [(held, f"{word} {other}"), *((i, word) for i in range(100, 140) if not katz.is_held_out(i))]
+    got = katz.katz_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark).where("held_out").collect()
+    assert [r.n_known for r in got] == [2] and got[0].n_tokens == 3
+
+
 def test_katz_odd(spark, odd, empty):
     got = katz.katz_scores(odd, spark).collect()
     assert len(got) == 10 and {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1} and all(math.isfinite(r.score) for r in got)
@@ -139,6 +149,24 @@ def components(prints, ids):
     return [least[find(p)] for p in prints]
 
 
+def test_components_with_hot_nodes(spark, ship):
+    r = np.random.default_rng(3)
+    edges = [(int(a) // 600, 5000 + int(b)) for a, b in r.integers(0, 3000, (3000, 2))] + [(9000 + i, 9001 + i) for i in range(40)] + [(None, 3), (4, 4), (7, 6), (7, 6)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = connected_components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark)).collect()
+    assert {x.node: x.root for x in got} == {x: find(x) for x in root}
+
+
 def test_simhash(spark, local):
     got = sorted(registry.queries()["op2_simhash"](spark, SF).collect())
     prints = [brute_fingerprint(t) for _, t, _ in local]

@@ -42,7 +42,7 @@ from .arrays import load as _load
 from .arrays import small as _small
 from .common import Scratch, shuffle_width, table
 from .katz import NULL, _bucket
-from .textops import mix, pack, prefix_hashes, slices, span_hashes
+from .textops import long_span_hashes, mix, pack, prefix_hashes, slices, span_hashes
 
 # messages go back to the system when freed: Python workers outlive tasks, and Arrow's own pool keeps its memory
 pa.set_memory_pool(pa.system_memory_pool())
@@ -255,7 +255,7 @@ def _fragments(chunks: DataFrame, again: DataFrame, around: DataFrame, buckets:
         run_s, run_e = _union(start[gone], end[gone])
         some = mixed[of] if len(place) else np.zeros(0, bool)
         s, e = _union(start[some], end[some])
-        name = span_hashes(c.prefix, s, e) ^ mix((e - s).astype(np.uint64))
+        name = long_span_hashes(span_hashes(c.prefix, s, e), c.data, s, e) ^ mix((e - s).astype(np.uint64))
         h, first, of = np.unique(name, return_index=True, return_inverse=True)
         key = np.full(len(h), np.iinfo(np.int64).max)
         np.minimum.at(key, of, c.keys[np.searchsorted(c.at, s, side="right") - 1])

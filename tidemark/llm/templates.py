@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +62,10 @@ def _plain_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     zero = prefix_hashes(np.zeros(len(data), np.uint8))
     skip = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(np.where(_ALNUM[data], np.uint64(0), np.diff(zero)), out=skip[1:])
-    return span_hashes(out - skip, start, end)
+    h = span_hashes(out - skip, start, end)
+    for i in np.flatnonzero(end - start > 64):  # long spans can share a polynomial
+        h[i] = xxhash.xxh3_64_intdigest(kept[start[i] : end[i]].tobytes().replace(b"\0", b""))
+    return h
 
 
 def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

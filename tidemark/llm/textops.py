@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -56,6 +57,13 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray | slice, end: np.ndarray |
     return mix((prefix[end] - prefix[start]) * _power(len(prefix))[1][start])
 
 
+def long_span_hashes(h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 64) -> np.ndarray:
+    """The hashes ``h`` of spans, XXH3 for those over ``most`` bytes, as long spans of two bytes in a pattern can share a polynomial."""
+    long = np.flatnonzero(end - start > most)
+    h[long] = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b].tobytes()) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)), np.uint64, len(long))
+    return h
+
+
 def pack(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, a line feed after each, and where each starts (with the end as last)."""
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
@@ -77,7 +85,7 @@ def word_hashes(texts: Iterable[str | None], table: np.ndarray = LOWER) -> tuple
     data, at = pack(texts)
     data = table[data]
     start, end, first = words(data, at)
-    return span_hashes(prefix_hashes(data), start, end), first
+    return long_span_hashes(span_hashes(prefix_hashes(data), start, end), data, start, end), first
 
 
 def slices(frame: pd.DataFrame, text: str = "text", most: int = 1_000_000) -> Iterator[pd.DataFrame]:
