@@ -8,28 +8,16 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-#: A node with more than one in so many edges is hot; as an edge has two ends, fewer than twice as many nodes are.
-HOT = 1000
-
-
-def _hang(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """(u, v, m) for each edge (u, v) with its u's m; hot nodes, which are few, are broadcast, so that their edges stay where they are."""
-    hot = F.broadcast(least.where(F.col("n") > total / HOT).select("u", F.col("m").alias("hot_m")))
-    met = edges.join(hot, "u", "left")
-    cold = met.where("hot_m is null").select("u", "v").join(least.where(F.col("n") <= total / HOT).select("u", "m"), "u")
-    return met.where("hot_m is not null").select("u", "v", F.col("hot_m").alias("m")).unionByName(cold)
-
-
-def _toward_smallest_neighbour(edges: DataFrame, total: int) -> DataFrame:
+def _toward_smallest_neighbour(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return _hang(both.where("v > u"), least, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _toward_smallest_parent(edges: DataFrame, total: int) -> DataFrame:
+def _toward_smallest_parent(edges: DataFrame) -> DataFrame:
     down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hung = _hang(down, least, total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    hung = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -38,8 +26,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
 
     ``edges`` has long columns u and v; direction, repeats and loops do not matter. Each round is written
     to the shared folder; only a count and a checksum come to the driver. Rounds grow with the logarithm
-    of the number of nodes. Minima are pre-aggregated before their shuffle. In joins the edges of hot nodes are
-    not shuffled; a node has at most one edge in ``HOT`` otherwise.
+    of the number of nodes. Minima are pre-aggregated before their shuffle and each join has one row per
+    node on one side, so that adaptive execution can split a hot node's
+    edges where they exceed its size thresholds; smaller stars stay in one task.
     """
     tag = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.bit_xor(F.xxhash64("u", "v"))).first()
     nodes = edges.select("u", "v").where("u is not null and v is not null")
@@ -47,7 +36,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     seen, k = tag(now), 0
     while seen[0]:
         k += 1
-        after = scratch.put(_toward_smallest_parent(_toward_smallest_neighbour(now, seen[0]), seen[0]), f"{name}{k}")
+        after = scratch.put(_toward_smallest_parent(_toward_smallest_neighbour(now)), f"{name}{k}")
         then = tag(after)
         scratch.drop(f"{name}{k - 1}")
         now, stable, seen = after, then == seen, then
