@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import katz, kdshards, mixing, neighbours, registry, simhash, suffixes, templates, tokenfiles, toxicity, urlfilter
+from tidemark.llm import arrays, katz, kdshards, mixing, neighbours, registry, simhash, suffixes, templates, tokenfiles, toxicity, urlfilter
 from tidemark.llm.common import Scratch, ships_package, table
 from tidemark.llm.components import connected_components
 
@@ -167,6 +167,15 @@ def test_components_with_hot_nodes(spark, ship):
     assert {x.node: x.root for x in got} == {x: find(x) for x in root}
 
 
+@pytest.mark.parametrize("dump", [arrays.dump, arrays.dump_planes])
+def test_arrays(dump):
+    r = np.random.default_rng(0)
+    given = {"none": np.zeros(0, np.int64), "wide": r.integers(-(9**9), 9**9, 999), "byte": np.arange(255, dtype=np.uint8), "flag": r.random(50) > 0.5, "real": r.random(33), "one": np.array(7)}
+    got = arrays.load(dump(**given))
+    assert list(got) == list(given) and all(got[k].dtype == x.dtype and got[k].shape == x.shape and np.array_equal(got[k], x) for k, x in given.items())
+    assert arrays.load(dump()) == {}
+
+
 def test_simhash(spark, local):
     got = sorted(registry.queries()["op2_simhash"](spark, SF).collect())
     prints = [brute_fingerprint(t) for _, t, _ in local]

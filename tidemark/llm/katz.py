@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import dump as _dump
+from .arrays import dump_planes as _dump
 from .arrays import load as _load
 from .arrays import small as _small
 from .common import Scratch, shuffle_width, table
