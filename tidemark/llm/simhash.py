@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, table
+from .common import Scratch, broadcast_if_small, shuffle_width, table
 from .components import connected_components
 from .textops import mix, slices, word_hashes
 
@@ -49,6 +49,8 @@ PLANS = ((1 << 25, 20, 5), (1 << 63, 100, 4))
 APART = math.acos(2 * TOP / (TOP + BOTTOM)) / math.pi
 #: Shingles in a chunk of a candidate cluster, at most about.
 CHUNK_SHINGLES = 1_000_000
+#: Keys that a task makes of its fingerprints and counts before they are shuffled, about.
+KEYS_A_TASK = 2_000_000
 
 
 def _majority(h: np.ndarray) -> np.uint64:
@@ -165,7 +167,10 @@ def _tiled(rows: DataFrame, by: str, chunks: Column, columns: list[str]) -> Data
 def links(nodes: DataFrame, width: int, blocks: int, choose: int, distance: int, scratch: Scratch) -> DataFrame:
     """(u, v): links between rows of ``nodes`` (node, f0, ...), which hold different fingerprints."""
     cols = [f"f{k}" for k in range(width)]
-    keyed = nodes.select("node", F.posexplode(F.array(*cols)).alias("word", "f")).select("node", F.explode(_keys(blocks, choose)).alias("key"))
+    # files hold fingerprints by their bytes, and each makes many keys, whose first counts a task holds
+    tasks = -(-nodes.count() * width * math.comb(blocks, choose) // KEYS_A_TASK)
+    dealt = nodes.repartition(max(shuffle_width(nodes.sparkSession), tasks), "node")
+    keyed = dealt.select("node", F.posexplode(F.array(*cols)).alias("word", "f")).select("node", F.explode(_keys(blocks, choose)).alias("key"))
     sizes = scratch.put(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     # without fingerprints, as most keys are shared by nobody; the same join at every size, and one that splits hot keys
     shared = scratch.put(keyed.join(sizes.hint("merge"), "key"), "shared")
